@@ -127,14 +127,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Every ASCII byte but letters and digits; bytes of multi-byte characters belong to words.
+IS_PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 @np.errstate(over="ignore")
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ASCII-lower-cased words ``[^\\x20\\x09-\\x0D]+``, and the row of each."""
+def word_hashes(raw: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ASCII-lower-cased words between ``apart`` bytes, and the row of each.
+
+    By default words are ``[^\\x20\\x09-\\x0D]+``.
+    """
     if not len(raw):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = ~IS_SPACE[raw]
+    inside = ~apart[raw]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

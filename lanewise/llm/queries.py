@@ -17,6 +17,69 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: A conversation whose texts hold control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.chat_format import chat_digest
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, k, role, CONTROL_TEXT) for k, role in enumerate(("user", "assistant"))]
+    more = spark.range(1).select(F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(row, turns.columns, strict=True)]) for row in extra])).alias("t"))
+    more = more.select(*[F.col(f"t.{f.name}").cast(f.dataType).alias(f.name) for f in turns.schema])
+    return chat_digest(turns.unionByName(more))
+
+
+def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.bitsliced import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.source_mix import allocate
+
+    rows = allocate(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.token_output import packed_ids
+
+    return packed_ids(_table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.suffix_dedup import repeat_digest
+
+    return repeat_digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanewise.llm.licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
