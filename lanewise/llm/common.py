@@ -123,22 +123,47 @@ def spans_of(off: np.ndarray, most: int):
         i = j
 
 
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS: dict[str, np.ndarray] = {}
+_POWERS_KEPT = 1 << 21
+
+
+def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
+    if name not in _POWERS or len(_POWERS[name]) < n:
+        made = powers(base, max(n, (1 << 19) + 1))
+        if n > _POWERS_KEPT:  # for one very long text only
+            return made
+        _POWERS[name] = made
+    return _POWERS[name]
+
+
+class Hashes:
+    """Prefix polynomial hashes of a byte buffer; equal substrings have equal hashes."""
+
+    def __init__(self, raw: np.ndarray, table: np.ndarray = BYTE):
+        n = len(raw)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[raw] * _power_table("up", BASE, n + 1)[:n], out=self.prefix[1:])
+        self.down = _power_table("down", _INVERSE, n + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.prefix[end] - self.prefix[start]) * self.down[start]
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LOWER_BYTE = BYTE[LOWER]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Every ASCII byte but letters and digits; bytes of multi-byte characters belong to words.
 IS_PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
-@np.errstate(over="ignore")
-def word_hashes(raw: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ASCII-lower-cased words between ``apart`` bytes, and the row of each.
-
-    By default words are ``[^\\x20\\x09-\\x0D]+``.
-    """
+def word_spans(raw: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the words between ``apart`` bytes; by default ``[^\\x20\\x09-\\x0D]+``."""
     if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        empty = np.empty(0, np.int64)
+        return empty, empty, empty
     inside = ~apart[raw]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -147,40 +172,42 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE)
     first[edges] = inside[edges]
     last[edges[1:] - 1] = inside[edges[1:] - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    lengths = ends - starts
-    begin = np.zeros(len(starts), np.int64)
-    np.cumsum(lengths[:-1], out=begin[1:])
-    place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-    value = BYTE[LOWER[raw[inside]]] * powers(BASE, int(lengths.max()))[place]
-    hashed = mix(np.add.reduceat(value, begin) + lengths.astype(np.uint64) * _ODD[0])
-    return hashed, np.searchsorted(off, starts, side="right") - 1
+    return starts, ends, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
 
 
 @np.errstate(over="ignore")
-def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sorted distinct ``width``-word shingle hashes of each row.
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ASCII-lower-cased words of each row, and the row of each."""
+    starts, ends, row = word_spans(raw, off)
+    return mix(Hashes(raw, LOWER_BYTE).of(starts, ends) + (ends - starts).astype(np.uint64) * _ODD[0]), row
+
+
+@np.errstate(over="ignore")
+def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ``width``-word shingle hashes of each row: row i has flat[first[i] : first[i + 1]].
 
     A row with fewer words has its whole sequence as one shingle; one without words, none.
     """
     words, row = word_hashes(raw, off)
     n = len(off) - 1
     counts = np.bincount(row, minlength=n)
-    first = np.concatenate([[0], np.cumsum(counts)])
+    begin = np.concatenate([[0], np.cumsum(counts)])
     grams = max(len(words) - width + 1, 0)
-    value = np.zeros(grams, np.uint64)
+    value = np.zeros(len(words), np.uint64)
     for k in range(width):
-        value += words[k : k + grams] * _ODD[8 + k % 48]
+        value[:grams] += words[k : k + grams] * _ODD[8 + k % 48]
     value = mix(value)
-    out = []
-    for i in range(n):
-        a, b = first[i], first[i + 1]
-        if b - a >= width:
-            out.append(np.unique(value[a : b - width + 1]))
-        elif b > a:
-            short = (words[a:b] * _ODD[8 : 8 + b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _ODD[1]
-            out.append(mix(np.array([short], np.uint64)))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    for i in short.tolist():
+        a, b = begin[i], begin[i + 1]
+        total = (words[a:b] * _ODD[8 : 8 + b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _ODD[1]
+        value[a] = mix(np.array([total], np.uint64))[0]
+    size = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    place = np.concatenate([[0], np.cumsum(size)])
+    flat = value[np.arange(place[-1]) + np.repeat(begin[:-1] - place[:-1], size)]
+    for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True):
+        flat[a:b].sort()
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    fresh[place[:-1][size > 0]] = True
+    return flat[fresh], np.concatenate([[0], np.cumsum(fresh)])[place]

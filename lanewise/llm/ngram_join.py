@@ -7,8 +7,8 @@ Links every two documents whose sets of word shingles have Jaccard similarity of
    exact copies cost one node however many there are.
 2. Blocking without loss: sets within the bound differ in at most H shingles, so when the
    hash range is cut into m > H parts, at least m - H parts are equal.  A key is the
-   hash of one part's content.  Within an Arrow batch a key shared by k sets becomes k - 1
-   candidate edges and one row that goes to the shuffle, so a hot key costs one row a batch.
+   hash of one part's content.  Of each KEYS rows of a task, a key shared by k sets becomes k - 1
+   candidate edges and one row that goes to the shuffle, so a hot key costs few rows a task.
 3. Components of the candidate edges are closed under links.  Their sets travel once, dealt
    to pages of bounded size; every page also holds its cluster's pivot.
 4. In a page a signature tree is built: nodes hold OR-combined shingle bitmaps, size ranges and
@@ -35,18 +35,23 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import materialise, mix, row_id, shingle_sets, small_or_shuffled, spans_of, text_buffers
 from lanewise.llm.graph import components
 
-CHUNK = 4 << 20
+CHUNK = 512 << 10
+KEYS = 1 << 18  # settled within a task at once
 PAGE = 512
 FANOUT = 8
-WORDS = 16  # of 64 bits: the bitmap of a set
 SPARE = 2
 
 
 @np.errstate(over="ignore")
-def set_id(s: np.ndarray) -> int:
-    """64-bit id of a non-empty set."""
-    total = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(mix(np.array([total + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64)).view(np.int64)[0])
+def set_ids(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit ids of sets flat[first[i] : first[i + 1]]; 0 for an empty set."""
+    size = np.diff(first)
+    total = np.zeros(len(size), np.uint64)
+    some = size > 0
+    if some.any():
+        total[some] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[:-1][some])
+    out = mix(total + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return np.where(some, out, 0)
 
 
 class Blocking:
@@ -54,38 +59,58 @@ class Blocking:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.ratio = max(1.5, 1.2 * den / num)
-        self.bounds = [1]
-        self.edges: dict[int, np.ndarray] = {}
-
-    def _class(self, n: int) -> int:
-        while self.bounds[-1] <= n:
-            self.bounds.append(max(self.bounds[-1] + 1, math.ceil(self.bounds[-1] * self.ratio)))
-        return int(np.searchsorted(self.bounds, n, side="right")) - 1
+        ratio, self.bounds = max(1.5, 1.2 * den / num), [1]
+        while self.bounds[-1] < 1 << 40:
+            self.bounds.append(max(self.bounds[-1] + 1, math.ceil(self.bounds[-1] * ratio)))
+        self.bounds = np.array(self.bounds)
+        most = self.bounds[1:] - 1
+        self.differ = (den - num) * 2 * most // (den + num)
+        # parts are added so that few sets have as many empty parts as two linked sets have equal ones
+        parts = self.differ + 1
+        empty = np.where(self.differ < 8, 0, parts * np.exp(-self.bounds[:-1] * num / den / parts))
+        spare = SPARE + np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)
+        self.parts = np.where(self.differ == 0, 1, parts + spare)
 
     @np.errstate(over="ignore")
-    def _scheme(self, s: np.ndarray, cum: np.ndarray, c: int) -> np.ndarray:
-        most = self.bounds[c + 1] - 1
-        differ = (self.den - self.num) * 2 * most // (self.den + self.num)
-        m = 1 if differ == 0 else differ + 1 + SPARE
-        if m not in self.edges:
-            self.edges[m] = np.array([(k << 64) // m for k in range(1, m)], np.uint64)
-        at = np.concatenate([[0], np.searchsorted(s, self.edges[m]), [len(s)]])
-        full = np.diff(at) > 0
-        part = cum[at[1:]] - cum[at[:-1]]
-        key = mix(part + np.arange(m, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(c + 1) * np.uint64(0x165667B19E3779F9))
+    def _scheme(self, flat, size, c):
+        """(keys, set of each) when set i of ``size[i]`` shingles follows scheme ``c[i]``."""
+        owner = np.repeat(np.arange(len(size)), size)
+        m = self.parts[c]
+        part = ((flat >> np.uint64(32)) * m[owner].astype(np.uint64)) >> np.uint64(32)
+        fresh = np.ones(len(flat), bool)
+        fresh[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(fresh)
+        total = np.add.reduceat(mix(flat + np.uint64(0x27D4EB2F165667C5)), at)
+        part, owner = part[at], owner[at]
         # parts empty in both sets are equal too; they are needed only if they may be the only equal ones
-        return key[full] if m - int(full.sum()) < m - differ else key
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        c = self._class(n)
-        self._class(self.bounds[c + 1])
-        cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + np.uint64(0x27D4EB2F165667C5)))])
-        out = [self._scheme(s, cum, c)]
-        if n * self.den >= self.bounds[c + 1] * self.num:
-            out.append(self._scheme(s, cum, c + 1))
-        return np.concatenate(out)
+        full = np.bincount(owner, minlength=len(size))
+        poor = np.flatnonzero(full <= self.differ[c])
+        if len(poor):
+            wide = np.repeat(poor, m[poor])
+            every = (np.arange(len(wide)) - np.repeat(np.cumsum(m[poor]) - m[poor], m[poor])).astype(np.uint64)
+            here = np.isin(wide * (1 << 24) + every.astype(np.int64), owner * (1 << 24) + part.astype(np.int64))
+            part, owner = np.concatenate([part, every[~here]]), np.concatenate([owner, wide[~here]])
+            total = np.concatenate([total, np.zeros(int((~here).sum()), np.uint64)])
+        key = mix(total + part * np.uint64(0xC2B2AE3D27D4EB4F) + (c[owner] + 1).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+        return key, owner
+
+    def keys(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, number of the set of each) over sets flat[first[i] : first[i + 1]]."""
+        size = np.diff(first)
+        rows = np.flatnonzero(size)
+        if not len(rows):
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        size = size[rows]
+        c = np.searchsorted(self.bounds, size, side="right") - 1
+        key, owner = self._scheme(flat, size, c)
+        # sets that may have a partner in the next class follow that scheme, too
+        up = np.flatnonzero(size * self.den >= self.bounds[c + 1] * self.num)
+        if len(up):
+            inside = np.zeros(len(size), bool)
+            inside[up] = True
+            more, also = self._scheme(flat[np.repeat(inside, size)], size[up], c[up] + 1)
+            key, owner = np.concatenate([key, more]), np.concatenate([owner, up[also]])
+        return key, rows[owner]
 
 
 def star_edges(keys: np.ndarray, ids: np.ndarray):
@@ -103,11 +128,8 @@ def star_edges(keys: np.ndarray, ids: np.ndarray):
 def _sets_of(batch, name: str, width: int):
     raw, off = text_buffers(batch.column(name))
     for i, j in spans_of(off, CHUNK):
-        yield i, j, shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)
-
-
-def _ids(sets) -> np.ndarray:
-    return np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
+        flat, first = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)
+        yield i, j, flat, first
 
 
 def _measure(width: int):
@@ -116,9 +138,9 @@ def _measure(width: int):
 
         for batch in batches:
             size, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, j, sets in _sets_of(batch, "text", width):
-                size[i:j] = [len(s) for s in sets]
-                ids[i:j] = _ids(sets)
+            for i, j, flat, first in _sets_of(batch, "text", width):
+                size[i:j] = np.diff(first)
+                ids[i:j] = set_ids(flat, first)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("rid", "doc_id", "th")), pa.array(size), pa.array(ids, mask=size == 0)], ["rid", "doc_id", "th", "n", "sig"]
             )
@@ -126,26 +148,32 @@ def _measure(width: int):
     return run
 
 
+@np.errstate(over="ignore")
+def _block_rows(keys: list[np.ndarray], owner: list[np.ndarray]):
+    import pyarrow as pa
+
+    key, sig, pairs = star_edges(np.concatenate(keys).view(np.int64), np.concatenate(owner))
+    link = mix(pairs[:, 0].copy().view(np.uint64) * np.uint64(3) + mix(pairs[:, 1].copy().view(np.uint64))).view(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([key, link, link])), pa.array(np.concatenate([sig, pairs[:, 0], pairs[:, 1]]))], ["key", "sig"]
+    )
+
+
 def _block(width: int, num: int, den: int):
     def run(batches):
-        import pyarrow as pa
-
         blocking = Blocking(num, den)
         for batch in batches:
-            keys, owner, seen = [], [], set()
-            for _, _, sets in _sets_of(batch, "text", width):
-                for s in sets:
-                    if len(s) and (sig := set_id(s)) not in seen:
-                        seen.add(sig)
-                        keys.append(blocking.keys(s).view(np.int64))
-                        owner.append(np.full(len(keys[-1]), sig, np.int64))
-            if not keys:
-                continue
-            key, sig, pairs = star_edges(np.concatenate(keys), np.concatenate(owner))
-            link = mix(pairs[:, 0].view(np.uint64) * np.uint64(3) + mix(pairs[:, 1].copy().view(np.uint64))).view(np.int64) if len(pairs) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key, link, link])), pa.array(np.concatenate([sig, pairs[:, 0], pairs[:, 1]]))], ["key", "sig"]
-            )
+            keys, owner, held = [], [], 0
+            for _, _, flat, first in _sets_of(batch, "text", width):
+                key, of = blocking.keys(flat, first)
+                keys.append(key)
+                owner.append(set_ids(flat, first)[of])
+                held += len(key)
+                if held > KEYS:
+                    yield _block_rows(keys, owner)
+                    keys, owner, held = [], [], 0
+            if keys:
+                yield _block_rows(keys, owner)
 
     return run
 
@@ -171,10 +199,12 @@ def _fetch(width: int):
         for batch in batches:
             want, place = batch.column("sig").to_numpy(), batch.column("places")
             out: list[list] = [[], [], [], [], []]
-            for i, j, sets in _sets_of(batch, "text", width):
-                for k, s in zip(range(i, j), sets, strict=True):
-                    if len(s) and set_id(s) == want[k]:
-                        blob = s.tobytes()
+            for i, j, flat, first in _sets_of(batch, "text", width):
+                found = set_ids(flat, first)
+                for k in range(i, j):
+                    a, b = first[k - i], first[k - i + 1]
+                    if b > a and found[k - i] == want[k]:
+                        blob = flat[a:b].tobytes()
                         for p in place[k].as_py():
                             for column, value in zip(out, (p["page"], p["side"], p["comp"], want[k], blob), strict=True):
                                 column.append(value)
@@ -187,13 +217,14 @@ def _fetch(width: int):
 class Tree:
     """A signature tree over sets: level 0 has the sets, each level above groups FANOUT nodes."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], words: int):
         self.sets = sets
         low = np.array([len(s) for s in sets], np.int64)
-        maps = np.zeros((len(sets), WORDS), np.uint64)
+        maps = np.zeros((len(sets), words), np.uint64)
         for row, s in zip(maps, sets, strict=True):
-            bit = s & np.uint64(64 * WORDS - 1)
-            np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            bits = np.zeros(64 * words, bool)
+            bits[(s & np.uint64(64 * words - 1)).astype(np.int64)] = True
+            row[:] = np.packbits(bits, bitorder="little").view(np.uint64)
         slack = low - np.bitwise_count(maps).sum(1).astype(np.int64)
         self.levels = [(maps, low, low, slack)]
         while len(low) > 1:
@@ -262,9 +293,11 @@ def _link(num: int, den: int):
         for part in side:
             part.sort(key=lambda r: (len(r[3]), r[3][:64]))
         mine = side[0] + side[1]
-        trees = [Tree([np.frombuffer(r[3], np.uint64) for r in part]) for part in side if part]
-        if not trees:
+        if not mine:
             return []
+        # eight bits for each shingle of the largest set: few share one
+        words = 1 << min(10, max(4, (max(len(r[3]) for r in mine) // 64 - 1).bit_length()))
+        trees = [Tree([np.frombuffer(r[3], np.uint64) for r in part], words) for part in side if part]
         comp, known = np.arange(len(mine)), {}
         for k, r in enumerate(mine):  # rows that are connected already; a row on both sides is one
             for name in ((0, r[1]) if r[1] is not None else None, (1, r[2])):

@@ -32,40 +32,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import BASE, BYTE, mix, powers, row_id, spans_of, text_buffers
+from lanewise.llm.common import Hashes, mix, row_id, spans_of, text_buffers
 
 LENGTH = 200
 GRAM = 50
 CLASS = 20_000
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 BLOCK = 8 << 20
 FULL, SHIP, BIG = 1, 2, 4
 
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if name not in _POWERS or len(_POWERS[name]) < n:
-        made = powers(base, max(n, CHUNK + 1))
-        if n > 4 * CHUNK:  # for one very long text only
-            return made
-        _POWERS[name] = made
-    return _POWERS[name]
-
-
-class Hashes:
-    """Prefix polynomial hashes of a byte buffer; equal substrings have equal hashes."""
-
-    def __init__(self, raw: np.ndarray):
-        n = len(raw)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[raw] * _table("up", BASE, n + 1)[:n], out=self.prefix[1:])
-        self.down = _table("down", _INVERSE, n + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.prefix[end] - self.prefix[start]) * self.down[start]
-
 
 class Runs:
     """Runs of a chunk of texts: arrays row, anchor, lo, hi (first and last start), h and r."""

@@ -1,7 +1,7 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A logistic regression over the presence of hashed words.  Besides the likelihood and an L2 term the
-loss has, for every labelled text that names a group, the squared change of its logit when the
+A logistic regression over the presence of hashed words and word beginnings (compounds and inflected forms share
+theirs).  Besides the likelihood and an L2 term the loss has, for every labelled text that names a group, the squared change of its logit when the
 group's name is swapped for another of the same kind.  So weight that a name has only by the company
 it keeps costs loss, and a neutral mention does not raise a score.
 
@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lanewise.llm.common import IS_PUNCTUATION, spans_of, text_buffers, word_hashes
+from lanewise.llm.common import IS_PUNCTUATION, LOWER_BYTE, Hashes, mix, spans_of, text_buffers, word_spans
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 KEPT = 20_000
-BITS = 22
-CHUNK = 4 << 20
+BEGINNINGS = (4, 5, 6)
+CHUNK = 512 << 10
 FOLDS = 5
-LEAST_CHI2 = 12.0
 
 #: Names of groups by kind; a name is swapped for the next one of its kind.
 IDENTITY = {
@@ -46,9 +45,17 @@ IDENTITY = {
 }
 
 
+@np.errstate(over="ignore")
 def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    words, row = word_hashes(raw, off, IS_PUNCTUATION)
-    return (words >> np.uint64(64 - BITS)).astype(np.int64), row
+    """32-bit hashes of the words of each row and of their first bytes, and the row of each."""
+    starts, ends, row = word_spans(raw, off, IS_PUNCTUATION)
+    hashes = Hashes(raw, LOWER_BYTE)
+    feats, rows = [hashes.of(starts, ends)], [row]
+    for k in BEGINNINGS:
+        long = np.flatnonzero(ends - starts >= k)
+        feats.append(hashes.of(starts[long], starts[long] + k) + np.uint64(k))
+        rows.append(row[long])
+    return (mix(np.concatenate(feats)) >> np.uint64(32)).astype(np.uint32), np.concatenate(rows)
 
 
 def feature_of(word: str) -> int:
@@ -78,8 +85,10 @@ def _sample_features(batches):
         out = []
         for i, j in spans_of(off, CHUNK):
             feats, row = _features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            cut = np.searchsorted(row, np.arange(j - i + 1))
-            out += [np.unique(feats[a:b]).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            order = np.argsort(row, kind="stable")
+            cut = np.searchsorted(row[order], np.arange(j - i + 1))
+            feats = feats[order]
+            out += [np.unique(feats[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.binary())], ["toxic", "features"])
 
 
@@ -89,12 +98,16 @@ class Model:
     def __init__(self, bias: float, features: np.ndarray, weights: np.ndarray):
         order = np.argsort(features)
         self.bias, self.features, self.weights = float(bias), features[order], weights[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.features & 0xFFFFF] = True
 
     def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(off) - 1
         feats, row = _features(raw, off)
         z = np.full(n, self.bias)
-        if len(self.features) and len(feats):
+        near = np.flatnonzero(self.maybe[feats & np.uint32(0xFFFFF)])
+        if len(near):
+            feats, row = feats[near], row[near]
             at = np.minimum(np.searchsorted(self.features, feats), len(self.features) - 1)
             hit = self.features[at] == feats
             pairs = np.unique(row[hit] * len(self.features) + at[hit])
@@ -107,9 +120,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-4, counterfac
     n, toxic = len(rows), int(labels.sum())
     share = (toxic + 0.5) / (n + 1)
     if not 0 < toxic < n:
-        return Model(np.log(share / (1 - share)), np.empty(0, np.int64), np.empty(0))
+        return Model(np.log(share / (1 - share)), np.empty(0, np.uint32), np.empty(0))
     size = np.array([len(r) for r in rows])
-    row, feat = np.repeat(np.arange(n), size), np.concatenate(rows).astype(np.int64)
+    row, feat = np.repeat(np.arange(n), size), np.concatenate(rows)
     names, col = np.unique(feat, return_inverse=True)
     seen = np.bincount(col).astype(float)
     seen_toxic = np.bincount(col, labels[row])
@@ -117,8 +130,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-4, counterfac
     a, b, c, d = seen_toxic, seen - seen_toxic, toxic - seen_toxic, n - toxic - seen + seen_toxic
     chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
     swap = swaps()
-    is_name = np.isin(names, np.array(list(swap) + list(swap.values())))
-    chosen = np.flatnonzero(((chi2 >= LEAST_CHI2) & (seen >= 3)) | is_name)
+    is_name = np.isin(names, np.array([*swap, *swap.values()], np.uint32))
+    # of so many candidates the largest chance value is about twice the logarithm of their number
+    chosen = np.flatnonzero(((chi2 >= 2 * np.log(len(names) + 1)) & (seen >= 3)) | is_name)
     chosen = chosen[np.argsort(-chi2[chosen], kind="stable")[:KEPT]]
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
@@ -126,7 +140,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-4, counterfac
     row, col = row[keep], place[col[keep]]
     index = {int(f): i for i, f in enumerate(names[chosen])}
     # swapped copies: the logit changes by w[new] - w[old]; an unseen name has weight 0
-    pairs = [(index[f], index.get(swap[f], -1)) for r in rows for f in r.tolist() if f in swap and f in index]
+    grouped = np.array(list(swap), np.uint32)
+    pairs = [(index[f], index.get(swap[f], -1)) for r in rows for f in r[np.isin(r, grouped)].tolist() if f in index]
     old = np.array([p[0] for p in pairs], np.int64)
     new = np.array([p[1] for p in pairs], np.int64)
 
@@ -160,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **settings)
     # at most ``sample`` rows of two numbers: bounded by the parameter
     joined = texts.join(F.broadcast(known), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
     got = joined.mapInArrow(_sample_features, "toxic int, features binary").toArrow()
-    rows = [np.frombuffer(b, np.int32) for b in got.column("features").to_pylist()]
+    rows = [np.frombuffer(b, np.uint32) for b in got.column("features").to_pylist()]
     order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # the model does not hang on the order of arrival
     target = got.column("toxic").to_numpy().astype(float)
     return fit([rows[i] for i in order], target[order] if len(order) else target, **settings)
