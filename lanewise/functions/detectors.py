@@ -195,7 +195,7 @@ def iban_ok(s: Column) -> Column:
     flat = F.upper(F.regexp_replace(s, r"\s+", ""))
     turned = F.concat(F.substr(flat, F.lit(5)), F.substring(flat, 1, 4))
     value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+    rest = F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
     return flat.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$") & (rest == 1)
 
 

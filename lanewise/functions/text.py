@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Limits, patterns and stop words.
 MAX_EXCERPT_CHARS = 4000
@@ -146,7 +147,7 @@ def normalized(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), _normalize(text)).otherwise(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalize(texts):
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 

@@ -136,7 +136,7 @@ def contrastive_pairs(spark: SparkSession) -> DataFrame:
             if kind == "card_luhn":
                 good = card(i * 13)
                 bad = good[:-1] + str((int(good[-1]) + 1) % 10)
-                pair = (f"charge card {good} for order {i}", f"charge card {bad} for order {i}", "1", "0", "sensitivity")
+                pair = (f"order {i}: charge card {good} please", f"order {i}: charge card {bad} please", "1", "0", "sensitivity")
             elif kind == "taj":
                 pair = (f"the patient id: LW{i:06d} needs a note", f"the parcel id LW{i:06d} needs a note", "1", "0", "sensitivity")
             elif kind == "ssn":  # an area that was never issued: the shape alone still fires

@@ -180,7 +180,7 @@ PROMPTS = (
     "concat('Ask sales', cast(c_custkey as string), '@example.com about it')",
     "concat('patient id: MRN', cast(c_custkey as string), ' shows a diagnosis')",
     "concat('export API_KEY=abc', cast(c_custkey as string), 'defgh now')",
-    "concat('IBAN GB82 WEST 1234 5698 7654 ', lpad(cast(c_custkey % 40 as string), 2, '0'), ' please')",
+    "concat('IBAN GB82 WEST 1234 5698 7654 ', lpad(cast(cast(floor(c_custkey / 10) as int) % 40 as string), 2, '0'), ' please')",
     "concat('Code AB', lpad(cast(c_custkey as string), 6, '0'), 'C and GB', lpad(cast(c_custkey as string), 6, '0'), 'A')",
     "concat('Explain how HIPAA works for customer ', cast(c_custkey as string))",
     "concat('NHS 943 476 ', lpad(cast(5900 + c_custkey % 100 as string), 4, '0'), ' or dob: 12/03/', cast(1950 + c_custkey % 50 as string))",
@@ -372,9 +372,9 @@ def mock_complexity(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", "complexity", F.col("complexity_confidence").alias("confidence"), p[0].alias("p_trivial"), p[3].alias("p_frontier"))
 
 
-@query(f"WITH {SCORED} SELECT doc_id, sensitivity, s_conf AS confidence, pii FROM scored")
+@query(f"WITH {SCORED} SELECT doc_id, sensitivity, s_conf AS confidence, round(pii, 3) AS pii FROM scored")
 def mock_sensitivity(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "sensitivity", F.col("sensitivity_confidence").alias("confidence"), "pii")
+    return _scored(spark, sf_dir).select("doc_id", "sensitivity", F.col("sensitivity_confidence").alias("confidence"), F.round("pii", 3).alias("pii"))
 
 
 @query(f"WITH {SCORED} SELECT domain, doc_lang AS lang, count(*) AS n FROM scored GROUP BY ALL")
