@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> SparkSession:
+    """Whole texts make long rows: fewer of them at a time keep Python workers small.
+
+    A session that has its own batch size keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+    return spark
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession

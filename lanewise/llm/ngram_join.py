@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import materialise, mix, row_id, shingle_sets, small_or_shuffled, spans_of, text_buffers
-from lanewise.llm.graph import components
+from lanewise.llm.graph import ONE_TASK, components
 
 CHUNK = 512 << 10
 KEYS = 1 << 18  # settled within a task at once
@@ -198,8 +198,8 @@ def _fetch(width: int):
 
         for batch in batches:
             want, place = batch.column("sig").to_numpy(), batch.column("places")
-            out: list[list] = [[], [], [], [], []]
             for i, j, flat, first in _sets_of(batch, "text", width):
+                out: list[list] = [[], [], [], [], []]
                 found = set_ids(flat, first)
                 for k in range(i, j):
                     a, b = first[k - i], first[k - i + 1]
@@ -208,8 +208,8 @@ def _fetch(width: int):
                         for p in place[k].as_py():
                             for column, value in zip(out, (p["page"], p["side"], p["comp"], want[k], blob), strict=True):
                                 column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["page", "side", "comp", "sig", "body"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["page", "side", "comp", "sig", "body"])
 
     return run
 
@@ -339,11 +339,12 @@ def _link(num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", page: int = PAGE) -> DataFrame:
-    """One row per input row: rid, doc_id, th (text hash), n (set size), sig (set id), component.
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", page: int = PAGE, one_task: int = ONE_TASK) -> DataFrame:
+    """One row per input row: rid, doc_id, th (text hash), n (set size), sig (set id), part, component.
 
     Two rows link when den * intersection >= num * union of their shingle sets.  ``rid`` is
-    the id, or a hash of the text where that is null.  ``component`` is the least id reachable.
+    the id, or a hash of the text where that is null.  ``part`` tells components apart, ``component`` is
+    the least id in it (two components share that name only if rows of one id lie in both).
     """
     docs = docs.select(
         row_id(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")
@@ -351,7 +352,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     measured = materialise(docs.mapInArrow(_measure(width), "rid long, doc_id long, th long, n long, sig long"), "sets")
     keys = docs.select("text").mapInArrow(_block(width, num, den), "key long, sig long")
     near = keys.repartition("key").mapInArrow(_reduce, "a long, b long")
-    cluster = components(near, "near").withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster")
+    cluster = components(near, "near", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster")
 
     # one row of each set travels; members of a cluster are dealt to pages, its pivot to every page
     sizes = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / page).cast("long").alias("pages"))
@@ -376,19 +377,19 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1), lambda p: place(F.xxhash64("cluster", p), 0, F.lit(None)))
     first = member.withColumn("places", F.when(F.col("sig") == F.col("cluster"), every).otherwise(F.array(place(own, 0, F.lit(None)))))
     links = materialise(fetched(first, rows), "links")
-    part = components(links, "linked").withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
+    part = components(links, "linked", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
 
     wide = member.where("pages > 1")
     if not wide.isEmpty():
-        links, part = _complete(wide, part, links, fetched, place, page)
+        links, part = _complete(wide, part, links, fetched, place, page, one_task)
 
     named = measured.join(part, "sig", "left").withColumn("part", F.coalesce("part", "sig"))
     least = named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "part", "left")
-    return out.select("rid", "doc_id", "th", "n", "sig", F.coalesce("least", "doc_id").alias("component"))
+    return out.select("rid", "doc_id", "th", "n", "sig", "part", F.coalesce("least", "doc_id").alias("component"))
 
 
-def _complete(wide, part, links, fetched, place, page):
+def _complete(wide, part, links, fetched, place, page, one_task):
     """Links between pages of clusters that are not one component yet."""
     state = wide.join(part, "sig", "left").withColumn("part", F.coalesce("part", "sig"))
     count = state.groupBy("cluster", "part").agg(F.count("*").alias("c"))
@@ -408,15 +409,15 @@ def _complete(wide, part, links, fetched, place, page):
     places = F.when(F.col("part") == F.col("main"), right).otherwise(F.concat(left, right))
     more = materialise(fetched(open_rows.withColumn("places", places), n), "links")
     links = links.unionByName(more)
-    part = components(links, "linked").withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
+    part = components(links, "linked", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
     return links, part
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, one of each component: the least (id, text hash) stays."""
     found = ngram_jaccard_join(docs, **settings).where("n > 0")
-    group = found.groupBy("component").agg(F.min(F.struct("rid", "th")).alias("k"), F.count("*").alias("c")).where("c > 1")
-    said = found.join(group, "component").withColumn("keep", F.struct("rid", "th") == F.col("k"))
+    group = found.groupBy("part").agg(F.min(F.struct("rid", "th")).alias("k"), F.count("*").alias("c")).where("c > 1")
+    said = found.join(group, "part").withColumn("keep", F.struct("rid", "th") == F.col("k"))
     said = materialise(said.groupBy(F.col("rid").alias("_rid"), F.col("th").alias("_th")).agg(F.max("keep").alias("_keep"), F.count("*").alias("_n")), "kept")
     marked = docs.withColumns({"_rid": row_id(), "_th": F.xxhash64("text")})
     marked = marked.join(small_or_shuffled(said, said.count()), ["_rid", "_th"], "left")

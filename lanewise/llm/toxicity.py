@@ -58,17 +58,18 @@ def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (mix(np.concatenate(feats)) >> np.uint64(32)).astype(np.uint32), np.concatenate(rows)
 
 
-def feature_of(word: str) -> int:
+def features_of(word: str) -> list[int]:
+    """Features of one word: itself first, then its beginnings."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(_features(raw, np.array([0, len(raw)]))[0][0])
+    return _features(raw, np.array([0, len(raw)]))[0].tolist()
 
 
-def swaps() -> dict[int, int]:
-    """Feature of each group name -> feature of the name that replaces it."""
+def swaps() -> dict[int, tuple[list[int], list[int]]]:
+    """Feature of each group name -> features that leave and features that come when it is swapped."""
     out = {}
     for names in IDENTITY.values():
         for a, b in zip(names, names[1:] + names[:1], strict=True):
-            out[feature_of(a)] = feature_of(b)
+            out[features_of(a)[0]] = (features_of(a), features_of(b))
     return out
 
 
@@ -130,7 +131,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-4, counterfac
     a, b, c, d = seen_toxic, seen - seen_toxic, toxic - seen_toxic, n - toxic - seen + seen_toxic
     chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
     swap = swaps()
-    is_name = np.isin(names, np.array([*swap, *swap.values()], np.uint32))
+    is_name = np.isin(names, np.array([f for pair in swap.values() for side in pair for f in side], np.uint32))
     # of so many candidates the largest chance value is about twice the logarithm of their number
     chosen = np.flatnonzero(((chi2 >= 2 * np.log(len(names) + 1)) & (seen >= 3)) | is_name)
     chosen = chosen[np.argsort(-chi2[chosen], kind="stable")[:KEPT]]
@@ -139,11 +140,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-4, counterfac
     keep = place[col] >= 0
     row, col = row[keep], place[col[keep]]
     index = {int(f): i for i, f in enumerate(names[chosen])}
-    # swapped copies: the logit changes by w[new] - w[old]; an unseen name has weight 0
+    # swapped copies: the logit changes by the weights that come less those that leave; unseen features weigh 0
     grouped = np.array(list(swap), np.uint32)
-    pairs = [(index[f], index.get(swap[f], -1)) for r in rows for f in r[np.isin(r, grouped)].tolist() if f in index]
-    old = np.array([p[0] for p in pairs], np.int64)
-    new = np.array([p[1] for p in pairs], np.int64)
+    named = [swap[f] for r in rows for f in r[np.isin(r, grouped)].tolist()]
+    moves = [(i, index[f], sign) for i, (old, new) in enumerate(named) for sign, side in ((-1.0, old), (1.0, new)) for f in side if f in index]
+    pair, moved = np.array([m[0] for m in moves], np.int64), np.array([m[1] for m in moves], np.int64)
+    sign = np.array([m[2] for m in moves])
 
     k = len(chosen)
     w, bias = np.zeros(k), np.log(share / (1 - share))
@@ -155,11 +157,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-4, counterfac
         p = 0.5 * (1 + np.tanh(z / 2))
         g = weight * (p - labels)
         grad = np.bincount(col, g[row], minlength=k) + l2 * w
-        if len(old):
-            change = np.where(new >= 0, w[new], 0.0) - w[old]
-            step = 2 * counterfactual * change / len(old)
-            grad -= np.bincount(old, step, minlength=k)
-            grad += np.bincount(new[new >= 0], step[new >= 0], minlength=k)
+        if len(moves):
+            change = np.bincount(pair, sign * w[moved], minlength=len(named))
+            grad += np.bincount(moved, 2 * counterfactual / len(named) * sign * change[pair], minlength=k)
         full = np.concatenate([grad, [g.sum()]])
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

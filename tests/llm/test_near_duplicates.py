@@ -63,6 +63,13 @@ def test_components(spark, width, num, den, page):
     assert sorted(((r.doc_id, r.n, r.component) for r in got.collect()), key=repr) == brute_components(rows, width, num, den)
 
 
+def test_components_by_rounds(spark):
+    """The way beyond one task's edges gives the same."""
+    rows = corpus()
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10, page=3, one_task=0)
+    assert sorted(((r.doc_id, r.n, r.component) for r in got.collect()), key=repr) == brute_components(rows, 3, 9, 10)
+
+
 def test_large_near_group_needs_pages(spark):
     """A chain whose ends differ: pages of four rows, completed across pages."""
     words = [f"w{i}" for i in range(200)]
