@@ -925,3 +925,119 @@ def stream_route_parity(spark, sf_dir):
     running = plan(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     running.awaitTermination()
     return plan(docs).join(spark.table(name).withColumnRenamed("n", "n_stream"), ["tier", "rule_id"], "full")
+
+
+@query()
+def decode_variants(spark, sf_dir):
+    """Identifiers that only a decoded variant shows: base64 of every prompt, which the plain text hides."""
+    rows = _prompts(spark, sf_dir).withColumn("coded", F.concat(F.lit("decode "), F.base64(F.col("text").cast("binary"))))
+    rows = rows.select("id", decision.gate_label(detectors.gate(F.col("text"))).alias("plain"), decision.gate_label(detectors.gate(F.col("coded"))).alias("decoded"))
+    return rows.groupBy("plain", "decoded").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT conv_id AS id, CASE conv_id % 3 WHEN 0 THEN 'system' ELSE 'user' END AS first_role, CASE conv_id % 3 WHEN 0 THEN 2 ELSE 1 END AS turns, any_value(length(text)) AS n
+FROM conversations WHERE turn = 0 GROUP BY conv_id
+""")
+def payload_messages(spark, sf_dir):
+    """Request bodies of three shapes, normalised to messages."""
+    from lanewise.sources.logs import extract_messages
+
+    turns = table(spark, sf_dir, "conversations").where("turn = 0")
+    kind = F.col("conv_id") % 3
+    chat = F.to_json(F.struct(F.lit("be brief").alias("system"), F.array(F.struct(F.lit("human").alias("role"), F.col("text").alias("content"))).alias("messages")))
+    body = F.when(kind == 0, chat).when(kind == 1, F.to_json(F.struct(F.col("text").alias("input")))).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"))))
+    rows = turns.select(F.col("conv_id").alias("id"), F.col("text"), extract_messages(body).alias("m"))
+    return rows.select("id", F.col("m")[0]["role"].alias("first_role"), F.size("m").alias("turns"), F.length(F.element_at("m", -1)["content"]).alias("n"))
+
+
+@query(f"WITH {ROUTED} SELECT 'lanewise.decision' AS kind, tier, count(*) AS n, min(length(t)) AS shortest FROM routed GROUP BY tier")
+def decision_log(spark, sf_dir):
+    records = decision_records(_routed(spark, sf_dir).withColumn("request_id", F.col("doc_id").cast("string")))
+    return records.groupBy("kind", "tier").agg(F.count("*").alias("n"), F.min(F.length("excerpt")).alias("shortest"))
+
+
+@query()
+def refusal_log(spark, sf_dir):
+    """Text-free refusals of blocked prompts, by detector."""
+    from lanewise.plans.route import prepare, refusal_records
+
+    refused = refusal_records(prepare(_prompts(spark, sf_dir).withColumn("request_id", F.col("id").cast("string"))))
+    return refused.select(F.explode("detectors").alias("detector", "c"), "sensitivity_floor").groupBy("detector", "sensitivity_floor").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT user_id AS backend, event_id AS t, event_type <> 'error' AS ok FROM events), r AS (
+  SELECT *, sum(ok::INT) OVER (PARTITION BY backend ORDER BY t) AS runs FROM e)
+SELECT count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS failures, max(streak) AS longest FROM (SELECT ok, sum((NOT ok)::INT) OVER (PARTITION BY backend, runs ORDER BY t) AS streak FROM r)
+""")
+def failure_streaks(spark, sf_dir):
+    """Calls, failures and the longest run of failures of one backend (what trips a breaker)."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("backend"), F.col("event_id").alias("t"), (F.col("event_type") != "error").alias("ok"))
+    runs = e.withColumn("runs", F.sum(F.col("ok").cast("int")).over(Window.partitionBy("backend").orderBy("t")))
+    streak = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("backend", "runs").orderBy("t"))
+    return runs.withColumn("streak", streak).agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.max("streak").alias("longest"))
+
+
+@query()
+def breaker_states(spark, sf_dir):
+    from lanewise.streaming.jobs import breaker_states as states
+
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("backend"), F.col("event_id").cast("double").alias("ts"), (F.col("value") < 40).alias("ok"))
+    return states(e, failures=3, recovery=20.0).groupBy("backend", "state").agg(F.count("*").alias("n"))
+
+
+@query()
+def ttl_cache(spark, sf_dir):
+    """Hits of a per-user cache whose entries live two days."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    hits = dedupe.cache_hits(e, "key", "us", ttl_seconds=172_800.0, ts="t")
+    return hits.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+
+
+@query(f"""
+WITH {P} SELECT id, CASE WHEN id % 2 = 0 THEN 'local-model' ELSE 'cheap-model' END AS model FROM p
+""")
+def candidate_narrowing(spark, sf_dir):
+    """Candidates cut to the decided tier; a tier without a candidate falls to the safest."""
+    from lanewise.sources.logs import narrowed
+
+    rows = _prompts(spark, sf_dir).withColumn("tier", F.when(F.col("id") % 2 == 0, "strong").otherwise("cheap"))
+    pool = F.array(F.lit("local-model"), F.lit("cheap-model"))
+    return rows.select("id", narrowed(pool, F.col("tier"), {"local": ("local-model",), "cheap": ("cheap-model",), "strong": ("strong-model",)})[0].alias("model"))
+
+
+@query("""
+WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR)) AS rn FROM documents)
+SELECT source, CASE WHEN rn <= 3 THEN 'train' WHEN rn <= 5 THEN 'val' END AS part, count(*) AS n, min(doc_id) AS least FROM s WHERE rn <= 5 GROUP BY ALL
+""")
+def stratified_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    rows = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("h"))).where("rn <= 5")
+    return rows.groupBy("source", F.when(F.col("rn") <= 3, "train").otherwise("val").alias("part")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+
+
+@query()
+def identifier_coverage(spark, sf_dir):
+    """Synthetic identifiers of every kind and how many the gate catches."""
+    from lanewise.generators import check_identifiers, synthetic_identifiers
+
+    return check_identifiers(synthetic_identifiers(spark))
+
+
+@query()
+def student_agreement(spark, sf_dir):
+    """A distilled student against its teacher on held-out documents: agreement and calibration."""
+    import numpy as np
+
+    names = ["char_len", "word_count", "sentence_count", "mean_word_len", "question_marks"]
+    rows = _scored(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), "complexity_p", *[F.col(f"features.{c}").cast("double").alias(c) for c in names])
+    rows = distill.standardized(rows, names).withColumn("holdout", text.split_bucket(F.col("request_id")) < 0.2)
+    # the training table is a bounded sample, as its parameter says
+    sample = rows.where(~F.col("holdout")).orderBy("request_id").limit(2000).toPandas()
+    x, target = sample[names].to_numpy(float), np.stack(sample["complexity_p"])
+    model = distill.train_student(x, {"complexity": target}, {"complexity": np.ones(len(x), bool)}, {"complexity": schema.COMPLEXITY}, hidden=8, epochs=40)
+    held = rows.where("holdout")
+    both = held.select("request_id", F.col("complexity_p").alias("teacher_p")).join(distill.predictions(held, model, names), "request_id")
+    same = decision.argmax(F.col("complexity_p"), schema.COMPLEXITY) == decision.argmax(F.col("teacher_p"), schema.COMPLEXITY)
+    return both.agg(F.count("*").alias("n"), F.round(F.avg(same.cast("double")), 3).alias("agreement"), F.round(F.avg(decision.total_variation(F.col("complexity_p"), F.col("teacher_p"))), 3).alias("mean_tvd"))
