@@ -11,7 +11,7 @@ Blocks have a bounded number of rows and of queries; every query meets every blo
 blocks' winners are merged.
 
 Defined cases: null and non-finite vectors take no part, nor vectors of another length than most; zero
-vectors do; of rows with one id one counts; ties go to the smaller id; with no other row a
+vectors do; components stay below 2**20 in size, so that scores fit 64 bits; of rows with one id one counts; ties go to the smaller id; with no other row a
 query has no result; an empty table gives an empty result; other columns are ignored.
 """
 

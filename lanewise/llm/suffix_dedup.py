@@ -493,7 +493,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, lim
     marks = runs.repartition("route").sortWithinPartitions("h", "r").mapInArrow(_settle(limit), "rid long, t32 int, h long, r long, flag int")
     marks = marks.groupBy("rid", "t32").agg(F.collect_list(F.struct("h", "r", "flag")).alias("marks"))
     schema = "route long, rid long, t32 int, kind int, lo long, hi long, at int, dlo int, dhi int, body binary"
-    near = keyed.join(marks, ["rid", "t32"]).select("rid", "t32", "text", "marks").mapInArrow(_surroundings(length, gram), schema)
+    # all columns go along, so that this join and the last one read one shuffle of the texts
+    near = keyed.join(marks, ["rid", "t32"]).mapInArrow(_surroundings(length, gram), schema)
     spans = near.repartition("route").sortWithinPartitions("route").mapInArrow(_sort_suffixes(length), "rid long, t32 int, lo long, hi long")
     return spans.groupBy("rid", "t32").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 

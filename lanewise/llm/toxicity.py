@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lanewise.llm.common import IS_PUNCTUATION, LOWER_BYTE, Hashes, mix, spans_of, text_buffers, word_spans
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 KEPT = 20_000
 BEGINNINGS = (4, 5, 6)
 CHUNK = 512 << 10
