@@ -321,7 +321,13 @@ def prefilter_tiers(spark, sf_dir):
 # ------------------------------------------------------------ the keyless scorer and the policy
 
 
+def _ascii(column: str) -> str:
+    """Accented letters as plain ones: RE2 finds a word boundary beside them, Java does not."""
+    return rf"regexp_replace({column}, '[\x{{00C0}}-\x{{00D6}}\x{{00D8}}-\x{{00F6}}\x{{00F8}}-\x{{024F}}]', 'x', 'g')"
+
+
 def _markers(column: str, markers) -> str:
+    column = _ascii(column)
     return " + ".join(f"CASE WHEN regexp_matches({column}, '(?i){p}') THEN {float(w)} ELSE 0.0 END" for p, w in markers)
 
 
@@ -339,7 +345,7 @@ _DOMAIN_EXTRA = {
 _DOMAIN_SCORES = ", ".join(
     "0.35::DOUBLE + "
     + _DOMAIN_EXTRA.get(name, "0.0")
-    + "".join(f" + CASE WHEN regexp_matches(t, '(?i){p}') THEN {float(w)} ELSE 0.0 END" for p, m, w in decision.DOMAIN_MARKERS if m == name)
+    + "".join(f" + CASE WHEN regexp_matches({_ascii('t')}, '(?i){p}') THEN {float(w)} ELSE 0.0 END" for p, m, w in decision.DOMAIN_MARKERS if m == name)
     for name in schema.DOMAINS
 )
 _LADDER = lambda levels: "[" + ", ".join(f"'{x}'" for x in levels) + "]"
@@ -679,12 +685,12 @@ def teacher_ece(spark, sf_dir):
 
 @query(f"""
 WITH {SCORED}, e AS (SELECT doc_id, list_transform(cp, lambda x: exp(ln(greatest(x, 1e-12)) / 1.7)) AS e, pii FROM scored)
-SELECT doc_id, round(e[1] / list_sum(e), 5) AS p_trivial, round(e[4] / list_sum(e), 5) AS p_frontier, round(exp(ln(pii) / 1.7) / (exp(ln(pii) / 1.7) + exp(ln(1 - pii) / 1.7)), 5) AS pii FROM e
+SELECT doc_id, round(e[1] / list_sum(e), 5) AS p_trivial, round(e[4] / list_sum(e), 5) AS p_frontier, round(exp(ln(pii) / 1.7) / (exp(ln(pii) / 1.7) + exp(ln(1 - pii) / 1.7)), 3) AS pii FROM e
 """)
 def temperature_scale(spark, sf_dir):
     rows = _scored(spark, sf_dir)
     p = decision.with_temperature(F.col("complexity_p"), 1.7)
-    return rows.select("doc_id", F.round(p[0], 5).alias("p_trivial"), F.round(p[3], 5).alias("p_frontier"), F.round(decision.binary_temperature(F.col("pii"), 1.7), 5).alias("pii"))
+    return rows.select("doc_id", F.round(p[0], 5).alias("p_trivial"), F.round(p[3], 5).alias("p_frontier"), F.round(decision.binary_temperature(F.col("pii"), 1.7), 3).alias("pii"))
 
 
 BREAKS, VALUES = (0.1, 0.3, 0.6, 0.9), (0.05, 0.2, 0.7, 0.95)
