@@ -10,13 +10,14 @@ Links every two documents whose sets of word shingles have Jaccard similarity of
    hash of one part's content.  Of each KEYS rows of a task, a key shared by k sets becomes k - 1
    candidate edges and one row that goes to the shuffle, so a hot key costs few rows a task.
 3. Components of the candidate edges are closed under links.  Their sets travel once, dealt
-   to pages of bounded size; every page also holds its cluster's pivot.
+   to pages of bounded size.  A cluster of several pages is first cut into bands of set sizes, of which
+   only a band and its neighbours can hold links; every page also holds its band's pivot.
 4. In a page a signature tree is built: nodes hold OR-combined shingle bitmaps, size ranges and
    the most shingles that share a bit.  A dual traversal drops node pairs whose greatest
    possible overlap is too small, and pairs that are already connected; the rest is verified
    on the sets themselves.
 5. Clusters of several pages that are not yet one component are completed by page pairs:
-   rows outside the cluster's largest component against all rows of the cluster.
+   rows outside the cluster's largest component against all rows of their band and its neighbours.
 
 Defined cases: null or word-less text has an empty set, size 0, links to nothing and is its
 own component; fewer words than the width form one shingle; repeated rows and ids are kept as
@@ -27,6 +28,7 @@ an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -354,10 +356,15 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     near = keys.repartition("key").mapInArrow(_reduce, "a long, b long")
     cluster = components(near, "near", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster")
 
-    # one row of each set travels; members of a cluster are dealt to pages, its pivot to every page
-    sizes = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / page).cast("long").alias("pages"))
-    of_set = measured.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid"))
-    member = materialise(cluster.join(sizes, "cluster").join(of_set, "sig"), "member")
+    # one row of each set travels; members of a cluster are dealt to pages, a pivot to every page
+    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("c")).select("cluster", (F.col("c") > page).alias("wide"))
+    of_set = measured.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid"), F.min("n").alias("n"))
+    # linked sets differ in size by den / num at most: their bands are the same or neighbours
+    band = F.when(F.col("wide"), F.floor(F.ln(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")).otherwise(0)
+    rows_of = cluster.join(sizes, "cluster").join(of_set, "sig").withColumn("band", band)
+    member = materialise(rows_of, "rows")
+    cells = member.groupBy("cluster", "band").agg(F.ceil(F.count("*") / page).cast("long").alias("pages"), F.min("sig").alias("pivot"))
+    member = materialise(member.join(cells, ["cluster", "band"]), "member")
     rows = member.count()
 
     def place(p, side, comp):
@@ -373,13 +380,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 8, den: int =
             .mapInArrow(_link(num, den), "a long, b long")
         )
 
-    own = F.xxhash64("cluster", F.pmod(F.xxhash64("sig"), "pages"))
-    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1), lambda p: place(F.xxhash64("cluster", p), 0, F.lit(None)))
-    first = member.withColumn("places", F.when(F.col("sig") == F.col("cluster"), every).otherwise(F.array(place(own, 0, F.lit(None)))))
+    own = F.xxhash64("cluster", "band", F.pmod(F.xxhash64("sig"), "pages"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1), lambda p: place(F.xxhash64("cluster", "band", p), 0, F.lit(None)))
+    first = member.withColumn("places", F.when(F.col("sig") == F.col("pivot"), every).otherwise(F.array(place(own, 0, F.lit(None)))))
     links = materialise(fetched(first, rows), "links")
     part = components(links, "linked", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
 
-    wide = member.where("pages > 1")
+    wide = member.where("wide")
     if not wide.isEmpty():
         links, part = _complete(wide, part, links, fetched, place, page, one_task)
 
@@ -389,25 +396,44 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     return out.select("rid", "doc_id", "th", "n", "sig", "part", F.coalesce("least", "doc_id").alias("component"))
 
 
+def _pair(place, side, band, mine, other, j):
+    return place(F.xxhash64("cluster", band, mine, other, j), side, F.col("part"))
+
+
+def _pair_back(place, side, other, band, his, i):
+    return place(F.xxhash64("cluster", other, i, band, his), side, F.col("part"))
+
+
 def _complete(wide, part, links, fetched, place, page, one_task):
     """Links between pages of clusters that are not one component yet."""
-    state = wide.join(part, "sig", "left").withColumn("part", F.coalesce("part", "sig"))
-    count = state.groupBy("cluster", "part").agg(F.count("*").alias("c"))
-    main = count.groupBy("cluster").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("total"))
-    main = main.where("parts > 1").select(
-        "cluster", F.col("top.part").alias("main"), F.ceil((F.col("total") - F.col("top.c")) / page).cast("long").alias("outer"), F.ceil(F.col("total") / page).cast("long").alias("all")
-    )
-    open_rows = materialise(state.join(main, "cluster"), "open")
+    state = wide.select("cluster", "band", "sig", "rid").join(part, "sig", "left").withColumn("part", F.coalesce("part", "sig"))
+    main = state.groupBy("cluster", "part").agg(F.count("*").alias("c"))
+    main = main.groupBy("cluster").agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    state = state.join(main, "cluster").withColumn("outer", F.col("part") != F.col("main"))
+    cell = state.groupBy("cluster", "band").agg(F.ceil(F.count_if("outer") / page).cast("int").alias("o"), F.ceil(F.count("*") / page).cast("int").alias("a"))
+    # a cluster has a few dozen bands at most
+    cells = cell.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("o", "a")))).alias("cells"))
+    open_rows = materialise(state.join(cells, "cluster"), "open")
     n = open_rows.count()
     if not n:
         return links, part
     hashed = F.xxhash64("sig")
-    zero = F.lit(0).cast("long")
-    mine, his = F.pmod(hashed, "outer"), F.pmod(hashed, "all")
-    left = F.transform(F.sequence(zero, F.col("all") - 1), lambda j: place(F.xxhash64("cluster", mine, j), 0, F.col("part")))
-    right = F.transform(F.sequence(zero, F.col("outer") - 1), lambda i: place(F.xxhash64("cluster", i, his), 1, F.col("part")))
-    places = F.when(F.col("part") == F.col("main"), right).otherwise(F.concat(left, right))
-    more = materialise(fetched(open_rows.withColumn("places", places), n), "links")
+    none = F.lit(0)
+
+    def pages(name: str, at):
+        return F.coalesce(F.try_element_at("cells", at)[name], none)
+
+    def to_pages(at, name: str, key):
+        return F.transform(F.filter(F.sequence(none, pages(name, at)), lambda k: k < pages(name, at)), key)
+
+    left, right = [], []
+    for step in (-1, 0, 1):
+        other = F.col("band") + step
+        mine, his = F.pmod(hashed, F.greatest(pages("o", F.col("band")), F.lit(1))), F.pmod(hashed, F.greatest(pages("a", F.col("band")), F.lit(1)))
+        left.append(to_pages(other, "a", partial(_pair, place, 0, "band", mine.cast("int"), other)))
+        right.append(to_pages(other, "o", partial(_pair_back, place, 1, other, "band", his.cast("int"))))
+    places = F.when(F.col("outer"), F.concat(*left, *right)).otherwise(F.concat(*right))
+    more = materialise(fetched(open_rows.withColumn("places", places).where(F.size("places") > 0), n), "links")
     links = links.unionByName(more)
     part = components(links, "linked", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
     return links, part

@@ -64,7 +64,9 @@ def _ranked(docs: DataFrame, seed: int) -> DataFrame:
 
 def _enter(rows: DataFrame) -> DataFrame:
     """One round: of the open rows, in the order of ``q``, those enter whose words fit in ``left``."""
-    rows = rows.withColumn("bin", F.when(F.col("open"), F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int")))
+    # rows that are settled match no bin; they get numbers of their own, so that no key gathers them
+    settled = -1 - F.pmod(F.xxhash64("rid", "th"), F.lit(BINS)).cast("int")
+    rows = rows.withColumn("bin", F.when(F.col("open"), F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int")).otherwise(settled))
     bins = rows.where("open").groupBy("source", "bin").agg(F.sum("size").alias("words"))
     up_to = Window.partitionBy("source").orderBy("bin")
     bins = bins.withColumn("after", F.sum("words").over(up_to))
