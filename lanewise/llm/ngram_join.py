@@ -383,7 +383,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     own = F.xxhash64("cluster", "band", F.pmod(F.xxhash64("sig"), "pages"))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1), lambda p: place(F.xxhash64("cluster", "band", p), 0, F.lit(None)))
     first = member.withColumn("places", F.when(F.col("sig") == F.col("pivot"), every).otherwise(F.array(place(own, 0, F.lit(None)))))
-    links = materialise(fetched(first, rows), "links")
+    links = materialise(fetched(first, rows + (member.where("sig = pivot").agg(F.sum("pages")).first()[0] or 0)), "links")
     part = components(links, "linked", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
 
     wide = member.where("wide")
@@ -414,8 +414,7 @@ def _complete(wide, part, links, fetched, place, page, one_task):
     # a cluster has a few dozen bands at most
     cells = cell.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("o", "a")))).alias("cells"))
     open_rows = materialise(state.join(cells, "cluster"), "open")
-    n = open_rows.count()
-    if not n:
+    if open_rows.isEmpty():
         return links, part
     hashed = F.xxhash64("sig")
     none = F.lit(0)
@@ -433,7 +432,10 @@ def _complete(wide, part, links, fetched, place, page, one_task):
         left.append(to_pages(other, "a", partial(_pair, place, 0, "band", mine.cast("int"), other)))
         right.append(to_pages(other, "o", partial(_pair_back, place, 1, other, "band", his.cast("int"))))
     places = F.when(F.col("outer"), F.concat(*left, *right)).otherwise(F.concat(*right))
-    more = materialise(fetched(open_rows.withColumn("places", places).where(F.size("places") > 0), n), "links")
+    dealt = open_rows.withColumn("places", places).where(F.size("places") > 0)
+    # a row's size is that of its places: their number decides whether the table is small
+    n = dealt.agg(F.sum(F.size("places"))).first()[0] or 0
+    more = materialise(fetched(dealt, n), "links")
     links = links.unionByName(more)
     part = components(links, "linked", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
     return links, part
