@@ -10,6 +10,9 @@ from lanewise.functions import text
 # Fixed values of the request cache.
 JACCARD, SEMANTIC, OVERLAP_FLOOR, TOP_K = 0.9, 0.7, 0.3, 5
 
+# Near duplicates: frequent tokens that go last in the order; tokens of a set for each further one that a pair must share.
+COMMON, SHARED = 4096, 16
+
 
 def judgement_key(redacted: Column, topics: Column, backend: str, version: int) -> Column:
     """32 hex digits over policy version, backend, redacted text and topics."""
@@ -57,24 +60,36 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
 def near_duplicates(left: DataFrame, right: DataFrame, threshold: float = JACCARD, id_col: str = "id", text_col: str = "text", normal: Column | None = None) -> DataFrame:
     """(left_id, right_id, similarity) of token-set pairs at or above the threshold.
 
-    Prefix filter: with tokens in one order (rarest hash first), two sets within the bound share a token
-    among the first n - ceil(t n) + 1 of either.  Only those tokens are joined, with the size filter;
-    then the sets are compared exactly.
+    Prefix filter: with tokens in one order (the COMMON most frequent last), two sets of overlap o share at least
+    min(m, o) tokens among the first n - ceil(t n) + m of either, for any m.  Only those tokens are joined, with the
+    size filter and an m that grows with the set; pairs that share fewer are no candidates.  Then the sets are
+    compared exactly.  Any order of tokens gives the same pairs, so COMMON bounds the work and not the result.
     """
 
     def sets(df: DataFrame, side: str) -> DataFrame:
         source = text.normalized(F.col(text_col)) if normal is None else normal
-        tokens = F.transform(F.array_sort(F.transform(text.token_set(source), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), lambda s: s["t"])
-        return df.select(F.col(id_col).alias(f"{side}_id"), tokens.alias(f"{side}_set")).where(F.size(f"{side}_set") > 0)
+        return df.select(F.col(id_col).alias(f"{side}_id"), text.token_set(source).alias(f"{side}_set")).where(F.size(f"{side}_set") > 0)
+
+    def hashes(side: str) -> Column:
+        return F.transform(f"{side}_set", lambda t: F.xxhash64(t))
 
     def prefix(df: DataFrame, side: str) -> DataFrame:
-        n = F.size(f"{side}_set")
-        keep = n - F.ceil(n * threshold).cast("int") + 1
-        return df.select(f"{side}_id", n.alias(f"{side}_n"), F.explode(F.slice(f"{side}_set", F.lit(1), keep)).alias("token"))
+        n, m = F.size(f"{side}_set"), F.floor(F.size(f"{side}_set") / SHARED).cast("int") + 1
+        rare_first = F.concat(F.array_sort(F.array_except(hashes(side), F.col("common"))), F.array_intersect(F.col("common"), hashes(side)))
+        keep = n - F.ceil(n * threshold - 1e-9).cast("int") + m
+        return df.crossJoin(F.broadcast(common)).select(f"{side}_id", n.alias(f"{side}_n"), m.alias(f"{side}_m"), F.explode(F.slice(rare_first, F.lit(1), keep)).alias("token"))
 
     a, b = sets(left, "left"), sets(right, "right")
-    fits = (F.col("left_n") >= threshold * F.col("right_n")) & (F.col("right_n") >= threshold * F.col("left_n"))
-    pairs = prefix(a, "left").join(prefix(b, "right"), "token").where(fits).select("left_id", "right_id").distinct()
+    tokens = a.select(F.explode(hashes("left")).alias("token"))
+    if left is not right:
+        tokens = tokens.unionAll(b.select(F.explode(hashes("right")).alias("token")))
+    most = tokens.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(COMMON)
+    common = most.agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("common"))
+    fits = (F.col("left_n") >= threshold * F.col("right_n") - 1e-9) & (F.col("right_n") >= threshold * F.col("left_n") - 1e-9)
+    least = F.ceil((F.col("left_n") + F.col("right_n")) * (threshold / (1 + threshold)) - 1e-9)
+    shared = prefix(a, "left").join(prefix(b, "right"), "token").where(fits)
+    shared = shared.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.min(F.least("left_m", "right_m", least)).alias("enough"))
+    pairs = shared.where("shared >= enough").select("left_id", "right_id")
     scored = pairs.join(a, "left_id").join(b, "right_id").withColumn("similarity", text.jaccard(F.col("left_set"), F.col("right_set")))
     return scored.where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 

@@ -799,8 +799,18 @@ SELECT x.id AS left_id, y.id AS right_id, round(len(list_intersect(x.s, y.s)) /
 FROM a x JOIN a y ON x.id < y.id WHERE len(x.s) > 0 AND len(y.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.6 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))
 """)
 def near_duplicate_pairs(spark, sf_dir):
-    """Near-duplicate requests: texts of at most 600 characters, the kind of request that the cache serves."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") <= 600).select(F.col("doc_id").alias("id"), "text")
+    """Pairs among texts of at most 600 characters, the part that the all-pairs SQL can afford; ``near_duplicate_pairs_whole`` has all."""
+    return _near_duplicate_pairs(table(spark, sf_dir, "documents").where(F.length("text") <= 600))
+
+
+@query()
+def near_duplicate_pairs_whole(spark, sf_dir):
+    """Near-duplicate requests among all documents, of any length."""
+    return _near_duplicate_pairs(table(spark, sf_dir, "documents"))
+
+
+def _near_duplicate_pairs(documents: DataFrame) -> DataFrame:
+    docs = documents.select(F.col("doc_id").alias("id"), "text")
     normal = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     pairs = dedupe.near_duplicates(docs, docs, 0.6, normal=normal).where("left_id < right_id")
     return pairs.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
