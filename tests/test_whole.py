@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise.llm import licenses
 from lanewise.operators import dedupe
 from lanewise.queries import QUERIES
 
@@ -34,3 +35,19 @@ def test_near_duplicates_of_sets_of_all_sizes(spark, threshold, monkeypatch):
     sets = {i: set(t.split()) for i, t in rows}
     want = {(a, b) for a in sets if a < 150 for b in sets if b >= 50 and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
     assert {(r.left_id, r.right_id) for r in dedupe.near_duplicates(left, right, threshold).collect()} == want
+
+
+def _licences(spark, texts):
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [(r.families, r.n_notices) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_all_notices_of_a_line(spark):
+    mit, apache = "released under the MIT License. ", "licensed under the Apache License, Version 2.0. "
+    texts = [
+        mit + "word " * 3000 + apache, "Licensed under the MIT License or the Apache License, Version 2.0.", mit + "word " * 3000 + mit, mit * 3,
+        "licensed under the GNU Lesser General Public License version 3", "licensed under the GNU General Public License version 3 or the GNU Lesser General Public License", apache,
+    ]
+    assert _licences(spark, texts) == [
+        (["apache-2.0", "mit"], 2), (["apache-2.0", "mit"], 2), (["mit"], 2), (["mit"], 3), (["lgpl"], 1), (["gpl-3.0", "lgpl"], 2), (["apache-2.0"], 1),
+    ]
