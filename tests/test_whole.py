@@ -51,3 +51,26 @@ def test_all_notices_of_a_line(spark):
     assert _licences(spark, texts) == [
         (["apache-2.0", "mit"], 2), (["apache-2.0", "mit"], 2), (["mit"], 2), (["mit"], 3), (["lgpl"], 1), (["gpl-3.0", "lgpl"], 2), (["apache-2.0"], 1),
     ]
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:""",
+    "isc": """ * Permission to use, copy, modify, and/or distribute this software for any\r
+ * purpose with or without fee is hereby granted, provided that the above\r
+ * copyright notice and this permission notice appear in all copies.""",
+    "gpl-3.0": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "proprietary": "All rights\n# reserved.",
+}
+
+
+def test_wrapped_notices(spark):
+    texts = [f"Some words first.\n\n{t}\n \t\nMore words." for t in WRAPPED.values()] + ["\n\n".join(WRAPPED.values())]
+    assert _licences(spark, texts) == [([f], 1) for f in WRAPPED] + [(sorted(WRAPPED), len(WRAPPED))]
