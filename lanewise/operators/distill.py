@@ -69,8 +69,9 @@ def idf(vocab: DataFrame, n_docs: int) -> DataFrame:
 
 def tfidf(docs: DataFrame, vocab: DataFrame, tokens: Column, id_col: str = "id") -> DataFrame:
     """(id, col, value): sublinear counts times idf, rows of length one.  The vocabulary has a bounded size."""
-    counts = docs.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
-    weighed = counts.join(F.broadcast(vocab), "token").withColumn("w", (1.0 + F.ln("tf")) * F.col("idf"))
+    # tokens outside the vocabulary leave before the shuffle
+    known = docs.select(id_col, F.explode(tokens).alias("token")).join(F.broadcast(vocab.select("token", "col", "idf")), "token")
+    weighed = known.groupBy(id_col, "col").agg(F.count("*").alias("tf"), F.any_value("idf").alias("idf")).withColumn("w", (1.0 + F.ln("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weighed.select(id_col, "col", (F.col("w") / norm).alias("value"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise import schema
@@ -164,9 +164,19 @@ x AS (SELECT doc_id, w.token, (1 + ln(count(*))) * any_value(ln((1.0 + n) / (1.0
 SELECT doc_id, token, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM x
 """)
 def tfidf_weights(spark, sf_dir):
-    docs = _requests(spark, sf_dir).withColumnRenamed("doc_id", "id")
-    tokens = text.tokens(F.col("excerpt"), bigrams=False)
-    vocab = distill.idf(distill.document_frequency(docs, tokens, most=100), docs.count())
+    """Weights of the 100 words that the SQL is made for; ``tfidf_weights_whole`` has the vectorizer's own settings."""
+    return _tfidf_weights(_requests(spark, sf_dir), text.tokens(F.col("excerpt"), bigrams=False), 100)
+
+
+@query()
+def tfidf_weights_whole(spark, sf_dir):
+    """Weights of words and bigrams with the vectorizer's own vocabulary size."""
+    return _tfidf_weights(_requests(spark, sf_dir), text.tokens(F.col("excerpt")), distill.MAX_VOCAB)
+
+
+def _tfidf_weights(requests: DataFrame, tokens: Column, most: int) -> DataFrame:
+    docs = requests.withColumnRenamed("doc_id", "id")
+    vocab = distill.idf(distill.document_frequency(docs, tokens, most=most), docs.count())
     rows = distill.tfidf(docs, vocab, tokens).join(F.broadcast(vocab.select("col", "token")), "col")
     return rows.select(F.col("id").alias("doc_id"), "token", F.round("value", 6).alias("value"))
 

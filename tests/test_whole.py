@@ -1,13 +1,16 @@
 """Operators and queries do their whole job: brute force over small tables."""
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise.functions import text
 from lanewise.llm import licenses
-from lanewise.operators import dedupe
+from lanewise.operators import dedupe, distill
 from lanewise.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +77,18 @@ in the Software without restriction, including without limitation the rights""",
 def test_wrapped_notices(spark):
     texts = [f"Some words first.\n\n{t}\n \t\nMore words." for t in WRAPPED.values()] + ["\n\n".join(WRAPPED.values())]
     assert _licences(spark, texts) == [([f], 1) for f in WRAPPED] + [(sorted(WRAPPED), len(WRAPPED))]
+
+
+def test_tfidf_weights_of_the_whole_vocabulary(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", text.tokens(text.excerpt_text(F.col("text"))).alias("w")).collect()
+    df = Counter(w for r in docs for w in set(r.w))
+    vocab = sorted((w for w in df if df[w] >= distill.MIN_DF), key=lambda w: (-df[w], w))[: distill.MAX_VOCAB]
+    idf = {w: math.log((1 + len(docs)) / (1 + df[w])) + 1 for w in vocab}
+    assert len(vocab) > 100 and any("_" in w for w in vocab)
+    want = {}
+    for r in docs:
+        row = {w: (1 + math.log(n)) * idf[w] for w, n in Counter(r.w).items() if w in idf}
+        norm = math.sqrt(sum(v * v for v in row.values()))
+        want |= {(r.doc_id, w): v / norm for w, v in row.items()}
+    got = {(r.doc_id, r.token): r.value for r in QUERIES["tfidf_weights_whole"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)
