@@ -977,6 +977,23 @@ def payload_messages(spark, sf_dir):
     return rows.select("id", F.col("m")[0]["role"].alias("first_role"), F.size("m").alias("turns"), F.length(F.element_at("m", -1)["content"]).alias("n"))
 
 
+@query()
+def payload_messages_whole(spark, sf_dir):
+    """Request bodies of three shapes with all turns of a conversation; ``payload_messages`` has the first turn, as its SQL does."""
+    from lanewise.sources.logs import extract_messages
+
+    said = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("said"))
+    items = F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    kind = F.col("conv_id") % 3
+    chat = F.to_json(F.struct(F.lit("be brief").alias("system"), items.alias("messages")))
+    prompts = F.to_json(F.struct(F.transform("said", lambda m: m["content"]).alias("prompt")))
+    body = F.when(kind == 0, chat).when(kind == 1, F.to_json(F.struct(items.alias("input")))).otherwise(prompts)
+    rows = turns.select(F.col("conv_id").alias("id"), extract_messages(body).alias("m"))
+    lengths = F.transform("m", lambda x: F.length(x["content"]))
+    return rows.select("id", F.col("m")[0]["role"].alias("first_role"), F.size("m").alias("turns"), F.aggregate(lengths, F.lit(0), lambda a, b: a + b).alias("n"))
+
+
 @query(f"WITH {ROUTED} SELECT 'lanewise.decision' AS kind, tier, count(*) AS n, min(length(t)) AS shortest FROM routed GROUP BY tier")
 def decision_log(spark, sf_dir):
     records = decision_records(_routed(spark, sf_dir).withColumn("request_id", F.col("doc_id").cast("string")))

@@ -92,3 +92,13 @@ def test_tfidf_weights_of_the_whole_vocabulary(spark):
         want |= {(r.doc_id, w): v / norm for w, v in row.items()}
     got = {(r.doc_id, r.token): r.value for r in QUERIES["tfidf_weights_whole"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)
+
+
+def test_payloads_of_all_turns(spark):
+    want: dict[int, list[int]] = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        row = want.setdefault(r.conv_id, [1, 8] if r.conv_id % 3 == 0 else [0, 0])
+        row[0] += 1
+        row[1] += len(r.text)
+    assert max(n for n, _ in want.values()) > 2
+    assert {r.id: [r.turns, r.n] for r in QUERIES["payload_messages_whole"](spark, SF).collect()} == want
