@@ -232,12 +232,25 @@ def detect_identifiers_documents(spark, sf_dir):
     return _requests(spark, sf_dir).select("doc_id", *[F.size(detectors.matches(F.col("excerpt"), n)).alias(n) for n in SIMPLE])
 
 
+@query()
+def detect_identifiers_whole(spark, sf_dir):
+    """Identifiers anywhere in a document; ``detect_identifiers_documents`` reads the router's excerpt, as its SQL does."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.size(detectors.matches(F.coalesce("text", F.lit("")), n)).alias(n) for n in SIMPLE])
+
+
 @query(f"WITH {P} SELECT id, {_detector_oracle(TOPICS)} FROM p UNION ALL SELECT -1 - doc_id, {_detector_oracle(TOPICS)} FROM (SELECT doc_id, {EX} AS t FROM documents)")
 def detect_advisory_topics(spark, sf_dir):
     both = _prompts(spark, sf_dir).unionByName(_requests(spark, sf_dir).select((-1 - F.col("doc_id")).alias("id"), F.col("excerpt").alias("text")))
     return both.select("id", *[F.size(detectors.matches(F.col("text"), n)).alias(n) for n in TOPICS])
 
 
+@query()
+def detect_advisory_topics_whole(spark, sf_dir):
+    """Topics anywhere in a prompt or document; ``detect_advisory_topics`` reads the router's excerpt, as its SQL does."""
+    docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return _prompts(spark, sf_dir).unionByName(docs).select("id", *[F.size(detectors.matches(F.col("text"), n)).alias(n) for n in TOPICS])
+
+
 _DOMAIN = "regexp_replace(lower(string_split(m, '@')[-1]), '^[.]+|[.]+$', '', 'g')"
 _PLACEHOLDER = " OR ".join(f"{_DOMAIN} = '{x}' OR suffix({_DOMAIN}, '.{x}')" for x in detectors.PLACEHOLDER_DOMAINS)
 

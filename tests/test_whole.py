@@ -94,6 +94,16 @@ def test_tfidf_weights_of_the_whole_vocabulary(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)
 
 
+def test_identifiers_and_topics_past_the_excerpt(spark, tmp_path):
+    late = "word " * 1000 + "My SSN is 123-45-6789 and HIPAA applies."
+    spark.createDataFrame([(1, late, "en", "a"), (2, None, "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/customer.parquet").limit(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.doc_id: r.us_ssn for r in QUERIES["detect_identifiers_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 0}
+    topics = {r.id: sum(r[1:]) for r in QUERIES["detect_advisory_topics_whole"](spark, str(tmp_path)).collect()}
+    assert topics[-2] > 0 and topics[-3] == 0
+
+
 def test_payloads_of_all_turns(spark):
     want: dict[int, list[int]] = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
