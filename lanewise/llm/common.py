@@ -70,6 +70,31 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Groups that may hold more than this share of all rows are fewer than this many.
+HOT_GROUPS = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", most: int = HOT_GROUPS) -> DataFrame:
+    """Join ``rows`` with one row for each group, so that no task gathers a large group.
+
+    ``groups`` says in ``c`` how many rows each has.  Fewer than ``most`` groups have over 1 / ``most``
+    of all of them: those are broadcast, the others are joined by a shuffle.
+    """
+    limit = (groups.agg(F.sum("c")).first()[0] or 0) // most
+    hot = F.broadcast(groups.where(F.col("c") > limit))
+    large = rows.join(hot, keys)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("c") <= limit), keys, how)
+    return large.unionByName(rest)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_id(id_col: str = "doc_id", text_col: str = "text"):
     """The id of a row; rows without one are told apart by their text."""
     return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
