@@ -10,10 +10,10 @@ id hashes) brings its hashed features to the driver; words that tell the classes
 sample are kept.  Scoring: every whole text, on the executors, with the weights broadcast (a table of
 at most ``KEPT`` words).
 
-Defined cases: null or empty text gets the score of the bias alone; a null id is not held out and
+Defined cases: null or empty text gets the score of the bias alone, and ``without_toxic`` keeps it if that is below 0.5; an empty table stays empty; a null id is not held out and
 finds no label; labels other than 0 and 1 are ignored, an id with several labels takes the highest;
-without labels of both kinds the score is the share of toxic labels; repeated rows score alike; other
-columns stay out of the score.
+without labels of both kinds the score is the share of toxic labels; repeated rows score alike, and of several texts with one id the fit
+takes the one with the least hash; other columns, whatever their names, are kept and stay out of the score.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lanewise.llm.common import IS_PUNCTUATION, LOWER_BYTE, Hashes, mix, spans_of, text_buffers, word_spans
+from lanewise.llm.common import IS_PUNCTUATION, LOWER_BYTE, Hashes, mix, spans_of, text_buffers, unused, word_spans
 
 SAMPLE = 6_000
+#: Features of one text in the fit at most: those with the least hashes, of the whole text.
+TEXT_FEATURES = 20_000
 KEPT = 20_000
 BEGINNINGS = (4, 5, 6)
 CHUNK = 512 << 10
@@ -89,7 +91,7 @@ def _sample_features(batches):
             order = np.argsort(row, kind="stable")
             cut = np.searchsorted(row[order], np.arange(j - i + 1))
             feats = feats[order]
-            out += [np.unique(feats[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            out += [np.unique(feats[a:b])[:TEXT_FEATURES].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.binary())], ["toxic", "features"])
 
 
@@ -173,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **settings)
     known = known.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most ``sample`` rows of two numbers: bounded by the parameter
-    joined = texts.join(F.broadcast(known), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    joined = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("toxic").cast("int").alias("toxic"))
     got = joined.mapInArrow(_sample_features, "toxic int, features binary").toArrow()
     rows = [np.frombuffer(b, np.uint32) for b in got.column("features").to_pylist()]
     order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # the model does not hang on the order of arrival
@@ -181,9 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **settings)
     return fit([rows[i] for i in order], target[order] if len(order) else target, **settings)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``toxicity`` between 0 and 1."""
-    names = [c for c in docs.columns if c != "toxicity"]
+def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name``, which they must not have, between 0 and 1."""
+    names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -194,10 +196,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out = np.zeros(batch.num_rows)
             for i, j in spans_of(off, CHUNK):
                 out[i:j] = shared.value.scores(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out)], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out)], [*names, name])
 
-    slim = docs.select(*names)
-    return slim.mapInArrow(run, StructType([*slim.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -213,5 +214,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5."""
-    return scored(docs, train(docs, labels, **settings)).where("toxicity < 0.5").drop("toxicity")
+    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    name = unused("toxicity", docs.columns)
+    return scored(docs, train(docs, labels, **settings), name).where(F.col(name) < 0.5).drop(name)
