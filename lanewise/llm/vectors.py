@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import materialise
 
 
+def finite(table: DataFrame) -> DataFrame:
+    """(vec_id, embedding as doubles): rows with an id and a non-empty vector of finite components."""
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(F.coalesce(fine, F.lit(False)))
+
+
+def every_row(table: DataFrame) -> DataFrame:
+    """``finite`` rows with a number ``uid`` of their own; to be written before it is used twice."""
+    return finite(table).withColumn("uid", F.monotonically_increasing_id())
+
+
 def usable(table: DataFrame, zero_ok: bool) -> DataFrame:
     """(vec_id, embedding as doubles): non-null finite vectors, one row per id.
 
     Of several rows with one id the least vector is kept; all vectors must have one length, that of
     the most rows (the longer of two as frequent).  ``zero_ok`` keeps vectors of zeros.
     """
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(F.coalesce(fine, F.lit(False)))
+    rows = finite(table)
     if not zero_ok:
         rows = rows.where(F.exists("embedding", lambda x: x != 0))
     rows = materialise(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
@@ -42,8 +52,8 @@ def blocks_of(n: int, most: int) -> int:
     return max(1, math.ceil(n / most))
 
 
-def top_rows(found: DataFrame, k: int, ascending: bool) -> DataFrame:
+def top_rows(found: DataFrame, k: int, ascending: bool, query: str = "query_id") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each query, ties to the smaller vec_id."""
     score = F.asc("score") if ascending else F.desc("score")
-    order = Window.partitionBy("query_id").orderBy(score, F.asc("vec_id"))
+    order = Window.partitionBy(query).orderBy(score, F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
