@@ -6,17 +6,19 @@ document or at another place of the same one.  Strings are judged on the input.
 1. Every LENGTH-byte string picks one anchor: the leftmost of its GRAM-byte substrings with the
    least hash.  Equal strings pick the same anchor at the same offset, so only strings with
    equal anchors need to meet.  Consecutive strings with one anchor form a run.
-2. Runs are dealt out by their anchor's hash.  Runs with the same content within an Arrow batch
+2. Runs are dealt out by their anchor's hash and told apart by a BLAKE2b digest of their bytes, so runs count as equal only
+   if their bytes are.  Runs with the same content within an Arrow batch
    are settled there and send one row on, so a passage of a third of all rows costs a row a batch.
    Equal runs are repeated throughout; an anchor with one run only is not repeated at all.
 3. What is left are anchors with different runs: edges of repeated passages.  One copy of each such
    run brings its surroundings.  Per block, the suffixes that start at the anchors are put in order
    by a mergesort whose comparisons find the common extension by binary search over prefix
    polynomial hashes; likewise the prefixes that end there.  Neighbours have the longest common
-   extensions on either side; those are verified on the bytes.  Where the longest left
+   extensions on either side; those are verified on the bytes, as is the order of neighbours, and a class in which a
+   collision shows is compared as bytes.  Where the longest left
    and right extensions come from different neighbours, the strings in doubt are compared as bytes.
 4. An anchor with more than CLASS different runs is not sorted in one task: its strings are dealt
-   out singly by their own hash.
+   out singly, by a 128-bit digest of their own.
 
 Defined cases: null text is empty; a text below LENGTH bytes keeps all; repeated rows count as
 occurrences of each other; rows without an id are told apart by their text; an empty table
@@ -38,14 +40,24 @@ LENGTH = 200
 GRAM = 50
 CLASS = 20_000
 CHUNK = 512 << 10
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 FULL, SHIP, BIG = 1, 2, 4
 
 
+def _digests(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int) -> bytes:
+    """BLAKE2b digests of raw[lo:hi], one after the other."""
+    view, make = memoryview(np.ascontiguousarray(raw)), hashlib.blake2b
+    return b"".join([make(view[a:b], digest_size=size).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+
+
 class Runs:
-    """Runs of a chunk of texts: arrays row, anchor, lo, hi (first and last start), h and r."""
+    """Runs of a chunk of texts: arrays row, anchor, lo, hi (first and last start), h and r.
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, length: int, gram: int):
+    ``h`` is the polynomial hash of the anchor, of which ``bits`` are kept; ``r`` is a digest of the run's bytes, which with the
+    place of the anchor and the number of strings tells runs of one anchor apart.
+    """
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray, length: int, gram: int, bits: int = 64):
         empty = np.empty(0, np.int64)
         self.row = self.anchor = self.lo = self.hi = empty
         self.h = self.r = np.empty(0, np.uint64)
@@ -74,9 +86,9 @@ class Runs:
         last = np.concatenate([first[1:], [len(start)]]) - 1
         self.anchor, self.lo, self.hi = anchor[first], start[first], start[last]
         self.row = np.repeat(long_rows, counts)[first]
-        self.h = value[self.anchor]
+        self.h = value[self.anchor] >> np.uint64(64 - bits)
         shape = ((self.anchor - self.lo) * 1024 + (self.hi - self.lo)).astype(np.uint64)
-        self.r = mix(hashes.of(self.lo, self.hi + length) + mix(shape))
+        self.r = np.frombuffer(_digests(raw, self.lo, self.hi + length, 8), np.uint64) ^ mix(shape)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -92,16 +104,16 @@ def _groups(*keys: np.ndarray):
     return order, np.cumsum(fresh)
 
 
-def _anchors(length: int, gram: int):
+def _anchors(length: int, gram: int, bits: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             raw, off = text_buffers(batch.column("text"))
-            rid, t32 = batch.column("rid").to_numpy(), batch.column("t32").to_numpy()
+            rid, th = batch.column("rid").to_numpy(), batch.column("th").to_numpy()
             parts: list[list[np.ndarray]] = [[], [], []]
             for i, j in spans_of(off, CHUNK):
-                found = Runs(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
+                found = Runs(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram, bits)
                 for part, x in zip(parts, (found.h, found.r, found.row + i), strict=True):
                     part.append(x)
             if not parts[0]:
@@ -122,7 +134,7 @@ def _anchors(length: int, gram: int):
             h, r, row, n = h[keep], r[keep], row[keep], n[keep]
             route = np.where(n > 0, _signed(h), rid[row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (route, _signed(h), _signed(r), rid[row], t32[row], n)], ["route", "h", "r", "rid", "t32", "n"]
+                [pa.array(x) for x in (route, _signed(h), _signed(r), rid[row], th[row], n)], ["route", "h", "r", "rid", "th", "n"]
             )
 
     return run
@@ -130,7 +142,7 @@ def _anchors(length: int, gram: int):
 
 def _settle(limit: int):
     """Rows sorted by (h, r): says which runs are repeated, and which must bring surroundings."""
-    names = ["h", "r", "rid", "t32", "n"]
+    names = ["h", "r", "rid", "th", "n"]
 
     def flags(cols, big: bool):
         h, r, n = cols["h"], cols["r"], cols["n"]
@@ -151,7 +163,7 @@ def _settle(limit: int):
         def out(cols, flag):
             keep = flag > 0
             return pa.RecordBatch.from_arrays(
-                [pa.array(cols[c][keep]) for c in ("rid", "t32", "h", "r")] + [pa.array(flag[keep])], ["rid", "t32", "h", "r", "flag"]
+                [pa.array(cols[c][keep]) for c in ("rid", "th", "h", "r")] + [pa.array(flag[keep])], ["rid", "th", "h", "r", "flag"]
             )
 
         def cut(cols, a, b):
@@ -194,25 +206,25 @@ def _settle(limit: int):
     return run
 
 
-def _surroundings(length: int, gram: int):
+def _surroundings(length: int, gram: int, bits: int, column: str):
     """For marked runs: intervals that are settled, and the bytes around those that are not."""
-    types = "route rid t32 kind lo hi at dlo dhi body".split()
+    types = "route rid th kind lo hi at dlo dhi body".split()
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
-        def rows(route, rid, t32, kind, lo, hi, at=None, dlo=None, dhi=None, body=None):
+        def rows(route, rid, th, kind, lo, hi, at=None, dlo=None, dhi=None, body=None):
             n = len(route)
             fill = [np.zeros(n, np.int32) if x is None else x for x in (at, dlo, dhi)]
-            data = [route, rid, t32, np.full(n, kind, np.int32), lo, hi, *fill]
+            data = [route, rid, th, np.full(n, kind, np.int32), lo, hi, *fill]
             arrays = [pa.array(np.ascontiguousarray(x), t) for x, t in zip(data, kinds, strict=False)]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(body, pa.binary()) if body is not None else pa.nulls(n, pa.binary())], types)
 
         for batch in batches:
-            raw, off = text_buffers(batch.column("text"))
-            rid, t32 = batch.column("rid").to_numpy(), batch.column("t32").to_numpy()
+            raw, off = text_buffers(batch.column(column))
+            rid, th = batch.column("rid").to_numpy(), batch.column("th").to_numpy()
             marks = batch.column("marks")
             ends = np.concatenate([[0], np.cumsum(marks.value_lengths().to_numpy())])
             flat = marks.flatten()
@@ -220,7 +232,7 @@ def _surroundings(length: int, gram: int):
             strings: list[np.ndarray] = []
             for i, j in spans_of(off, CHUNK):
                 bytes_, offs = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                found = Runs(bytes_, offs, length, gram)
+                found = Runs(bytes_, offs, length, gram, bits)
                 if not len(found.h):
                     continue
                 owner = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
@@ -245,7 +257,7 @@ def _surroundings(length: int, gram: int):
                     first = np.flatnonzero(new)
                     last = np.concatenate([first[1:], [len(full)]]) - 1
                     who = row[first]
-                    yield rows(rid[i + who], rid[i + who], t32[i + who], 0, lo[first] - offs[who], hi[last] - offs[who])
+                    yield rows(rid[i + who], rid[i + who], th[i + who], 0, lo[first] - offs[who], hi[last] - offs[who])
 
                 ship = (said & SHIP) > 0
                 twice = np.zeros(len(ship), bool)  # one copy of a run within a text is enough
@@ -261,7 +273,7 @@ def _surroundings(length: int, gram: int):
                     body = [text[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
                     open_ = np.where(said[some] & FULL, -1, a - found.lo[some]).astype(np.int32)
                     yield rows(
-                        _signed(found.h[some]), rid[i + row], t32[i + row], 1, a - offs[row], a - offs[row],
+                        _signed(found.h[some]), rid[i + row], th[i + row], 1, a - offs[row], a - offs[row],
                         (a - begin).astype(np.int32), (a - found.hi[some]).astype(np.int32), open_, body,
                     )
                 wide = np.flatnonzero(ship & (said & BIG > 0))
@@ -270,35 +282,39 @@ def _surroundings(length: int, gram: int):
                     begin = np.concatenate([[0], np.cumsum(count)])
                     start = np.arange(begin[-1]) + np.repeat(found.lo[wide] - begin[:-1], count)
                     run_of = np.repeat(wide, count)
-                    whole = mix(found.hashes.of(start, start + length))
+                    whole = np.frombuffer(_digests(bytes_, start, start + length, 16), np.uint64).reshape(-1, 2)
                     row = found.row[run_of]
                     twin = np.where(said[run_of] & FULL, 2, 1).astype(np.int32)
                     strings.append((whole, row + i, start - base[run_of], twin))
             if strings:
                 whole, row, start, twin = (np.concatenate(x) for x in zip(*strings, strict=True))
-                order, group = _groups(whole)
+                order, group = _groups(whole[:, 0], whole[:, 1])
                 whole, row, start, twin = whole[order], row[order], start[order], twin[order]
                 size = np.bincount(group, twin)[group]
                 first = np.ones(len(whole), bool)
                 first[1:] = group[1:] != group[:-1]
                 told = size >= 2
-                yield rows(rid[row[told]], rid[row[told]], t32[row[told]], 0, start[told], start[told] + length)
-                yield rows(_signed(whole[first]), rid[row[first]], t32[row[first]], 2, start[first], start[first] + length, at=np.minimum(size[first], 2).astype(np.int32))
+                yield rows(rid[row[told]], rid[row[told]], th[row[told]], 0, start[told], start[told] + length)
+                body = [x.tobytes() for x in whole[first, 1]]
+                yield rows(_signed(whole[first, 0]), rid[row[first]], th[row[first]], 2, start[first], start[first] + length, at=np.minimum(size[first], 2).astype(np.int32), body=body)
 
     return run
 
 
 class Block:
-    """Suffixes (and prefixes) at the anchors of a block of surroundings, in classes."""
+    """Suffixes (and prefixes) at the anchors of a block of surroundings, in classes; ``bits`` of the hashes are compared."""
 
-    def __init__(self, bodies: list[bytes], at: np.ndarray, classes: np.ndarray, length: int):
+    def __init__(self, bodies: list[bytes], at: np.ndarray, classes: np.ndarray, length: int, bits: int = 64):
         self.raw = np.frombuffer(b"".join(bodies), np.uint8)
         size = np.array([len(b) for b in bodies], np.int64)
         end = np.cumsum(size)
         self.a = end - size + at
         self.right, self.left = np.minimum(end - self.a, length), at.astype(np.int64)
         self.classes, self.length = classes, length
-        self.hashes = Hashes(self.raw)
+        self.hashes, self.spare = Hashes(self.raw), np.uint64(64 - bits)
+
+    def _alike(self, a, b, x, y) -> np.ndarray:
+        return mix(self.hashes.of(a, b)) >> self.spare == mix(self.hashes.of(x, y)) >> self.spare
 
     def common(self, i: np.ndarray, j: np.ndarray, forward: bool) -> np.ndarray:
         """Longest common extension of each pair, by binary search over hashes."""
@@ -308,9 +324,9 @@ class Block:
         while (open_ := lo < hi).any():
             mid = (lo + hi + 1) >> 1
             if forward:
-                same = self.hashes.of(x, x + mid) == self.hashes.of(y, y + mid)
+                same = self._alike(x, x + mid, y, y + mid)
             else:
-                same = self.hashes.of(x - mid, x) == self.hashes.of(y - mid, y)
+                same = self._alike(x - mid, x, y - mid, y)
             lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
         return lo
 
@@ -375,12 +391,18 @@ class Block:
         pairs = []
         for forward in (True, False):
             order = self.sorted(forward)
+            # comparisons that a collision makes contradictory may lose an item from the order
+            lost = np.bincount(order, minlength=len(self.a)) != 1
+            wrong |= np.isin(self.classes, self.classes[lost])
             i, j = order[:-1], order[1:]
-            same = self.classes[i] == self.classes[j]
+            same = (self.classes[i] == self.classes[j]) & (i != j)
             i, j = i[same], j[same]
             right, left = self.common(i, j, True), self.common(i, j, False)
+            # neighbours whose extensions are equal in bytes and that stand in the right order make a sorted class;
+            # a class with any other pair was misled by a collision and is compared as bytes throughout
             ok = self.verified(i, j, left, right)
-            np.logical_or.at(wrong, np.concatenate([i[~ok], j[~ok]]), True)
+            good = ok & (self.compare(i, j, forward) <= 0)
+            wrong |= np.isin(self.classes, self.classes[i[~good]])
             for x in (i[ok], j[ok]):
                 pairs.append((x, left[ok], right[ok]))
                 np.maximum.at(best[True], x, right[ok])
@@ -427,47 +449,51 @@ class Block:
         return out
 
 
-def _sort_suffixes(length: int):
+def _sort_suffixes(length: int, bits: int):
     """Rows sorted by route: surroundings in blocks of whole classes, single strings by count."""
 
     def run(batches):
         import pyarrow as pa
 
-        def told(rid, t32, lo, hi):
+        def told(rid, th, lo, hi):
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(x), t) for x, t in ((rid, pa.int64()), (t32, pa.int32()), (lo, pa.int64()), (hi, pa.int64()))], ["rid", "t32", "lo", "hi"]
+                [pa.array(np.asarray(x), t) for x, t in ((rid, pa.int64()), (th, pa.int64()), (lo, pa.int64()), (hi, pa.int64()))], ["rid", "th", "lo", "hi"]
             )
 
         def block(held):
-            cols = {c: np.concatenate([h[c] for h in held]) for c in ("route", "rid", "t32", "lo", "at", "dlo", "dhi")}
+            cols = {c: np.concatenate([h[c] for h in held]) for c in ("route", "rid", "th", "lo", "at", "dlo", "dhi")}
             bodies = [b for h in held for b in h["body"]]
-            work = Block(bodies, cols["at"], np.unique(cols["route"], return_inverse=True)[1], length)
+            work = Block(bodies, cols["at"], np.unique(cols["route"], return_inverse=True)[1], length, bits)
             for item, first, last in work.repeated(cols["dlo"].astype(np.int64), cols["dhi"].astype(np.int64)):
                 if len(item):
                     a = cols["lo"][item]
-                    yield told(cols["rid"][item], cols["t32"][item], a - last, a - first + length)
+                    yield told(cols["rid"][item], cols["th"][item], a - last, a - first + length)
 
         held, bytes_held, single = [], 0, None
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy() for c in ("route", "rid", "t32", "kind", "lo", "hi", "at", "dlo", "dhi")}
+            cols = {c: batch.column(c).to_numpy() for c in ("route", "rid", "th", "kind", "lo", "hi", "at", "dlo", "dhi")}
             kind = cols["kind"]
             if (done := kind == 0).any():
-                yield told(*(cols[c][done] for c in ("rid", "t32", "lo", "hi")))
+                yield told(*(cols[c][done] for c in ("rid", "th", "lo", "hi")))
             if (alone := kind == 2).any():
-                part = {c: cols[c][alone] for c in ("route", "rid", "t32", "lo", "hi", "at")}
+                # the two halves of a string's digest; rows are sorted by them
+                part = {c: cols[c][alone] for c in ("route", "rid", "th", "lo", "hi", "at")}
+                part["body"] = np.frombuffer(b"".join(batch.column("body").filter(pa.array(alone)).to_pylist()), np.uint64)
                 if single is not None:
                     part = {c: np.concatenate([single[c], part[c]]) for c in part}
-                tail = int(np.flatnonzero(part["route"] == part["route"][-1])[0])
-                _, of = np.unique(part["route"], return_inverse=True)
+                tail = int(np.flatnonzero((part["route"] == part["route"][-1]) & (part["body"] == part["body"][-1]))[0])
+                order, group = _groups(part["route"], part["body"])
+                of = np.empty(len(order), np.int64)
+                of[order] = group
                 hit = np.bincount(of, part["at"])[of] >= 2
-                yield told(*(part[c][hit] for c in ("rid", "t32", "lo", "hi")))
+                yield told(*(part[c][hit] for c in ("rid", "th", "lo", "hi")))
                 single = {c: v[tail:] for c, v in part.items()}
                 single = {c: v[-1:] for c, v in single.items()} if hit[-1] else single
                 if hit[-1]:
                     single["at"] = np.array([2], np.int32)
             if (near := np.flatnonzero(kind == 1)).size:
                 body = batch.column("body").take(pa.array(near)).to_pylist()
-                part = {c: cols[c][near] for c in ("route", "rid", "t32", "lo", "at", "dlo", "dhi")} | {"body": body}
+                part = {c: cols[c][near] for c in ("route", "rid", "th", "lo", "at", "dlo", "dhi")} | {"body": body}
                 bytes_held += sum(map(len, body))
                 if bytes_held > BLOCK:
                     tail = int(np.flatnonzero(part["route"] == part["route"][-1])[0])
@@ -483,20 +509,27 @@ def _sort_suffixes(length: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"rid": row_id(id_col, text_col), "t32": F.hash(text_col)})
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` under names of their own, with rid and th; and the text's name."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    text = names[docs.columns.index(text_col)]
+    return own.withColumns({"rid": row_id(names[docs.columns.index(id_col)], text), "th": F.xxhash64(text)}), text
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = CLASS) -> DataFrame:
-    """(rid, t32, spans): byte intervals [lo, hi) of each text to be removed; they may overlap."""
-    runs = keyed.select("rid", "t32", "text").mapInArrow(_anchors(length, gram), "route long, h long, r long, rid long, t32 int, n int")
-    marks = runs.repartition("route").sortWithinPartitions("h", "r").mapInArrow(_settle(limit), "rid long, t32 int, h long, r long, flag int")
-    marks = marks.groupBy("rid", "t32").agg(F.collect_list(F.struct("h", "r", "flag")).alias("marks"))
-    schema = "route long, rid long, t32 int, kind int, lo long, hi long, at int, dlo int, dhi int, body binary"
+def repeated_spans(keyed: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, limit: int = CLASS, bits: int = 64) -> DataFrame:
+    """(rid, th, spans): byte intervals [lo, hi) of each text to be removed; they may overlap."""
+    slim = keyed.select("rid", "th", F.col(text).alias("text"))
+    runs = slim.mapInArrow(_anchors(length, gram, bits), "route long, h long, r long, rid long, th long, n int")
+    marks = runs.repartition("route").sortWithinPartitions("h", "r").mapInArrow(_settle(limit), "rid long, th long, h long, r long, flag int")
+    # a text that is repeated whole has each mark once, however many rows it has
+    marks = marks.groupBy("rid", "th").agg(F.collect_set(F.struct("h", "r", "flag")).alias("marks"))
+    schema = "route long, rid long, th long, kind int, lo long, hi long, at int, dlo int, dhi int, body binary"
     # all columns go along, so that this join and the last one read one shuffle of the texts
-    near = keyed.join(marks, ["rid", "t32"]).mapInArrow(_surroundings(length, gram), schema)
-    spans = near.repartition("route").sortWithinPartitions("route").mapInArrow(_sort_suffixes(length), "rid long, t32 int, lo long, hi long")
-    return spans.groupBy("rid", "t32").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    near = keyed.join(marks, ["rid", "th"]).mapInArrow(_surroundings(length, gram, bits, text), schema)
+    dealt = near.repartition("route").sortWithinPartitions("route", "kind", F.when(F.col("kind") == 2, F.col("body")))
+    spans = dealt.mapInArrow(_sort_suffixes(length, bits), "rid long, th long, lo long, hi long")
+    return spans.groupBy("rid", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def kept_pieces(data: bytes, spans) -> tuple[list[bytes], int, int]:
@@ -517,28 +550,23 @@ def kept_pieces(data: bytes, spans) -> tuple[list[bytes], int, int]:
     return pieces, removed, count
 
 
-def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, gram: int, limit: int) -> DataFrame:
-    keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(keyed if text_col == "text" else keyed.withColumn("text", F.col(text_col)), length, gram, limit)
-    return keyed.join(spans, ["rid", "t32"], "left")
-
-
-def _rows(batch):
-    raw, off = text_buffers(batch.column("text"))
+def _rows(batch, text: str):
+    raw, off = text_buffers(batch.column(text))
     data = raw.tobytes()
     for i, spans in enumerate(batch.column("spans").to_pylist()):
         yield data[off[i] : off[i + 1]], [(s["lo"], s["hi"]) for s in spans or ()]
 
 
-def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = CLASS) -> DataFrame:
+def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = CLASS, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row."""
+    keyed, text = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for data, spans in _rows(batch):
+            for data, spans in _rows(batch, text):
                 pieces, removed, count = kept_pieces(data, spans)
                 digest = hashlib.sha256()
                 for p in pieces:
@@ -547,27 +575,27 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit
                     column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                [batch.column("c0"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = _with_spans(slim, length, "doc_id", "text", gram, limit)
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = keyed.join(repeated_spans(keyed, text, length, gram, limit, bits), ["rid", "th"], "left")
+    return joined.select("c0", text, "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = CLASS) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``; the other columns stay."""
-    names = docs.columns
+    """``docs`` with repeated passages cut out of ``text``; the other columns stay, whatever their names."""
+    keyed, text = _keyed(docs, "doc_id", "text")
+    names = [c for c in keyed.columns if c not in ("rid", "th")]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            text = []
-            for (data, spans), value in zip(_rows(batch), batch.column("text").is_valid().to_pylist(), strict=True):
-                text.append(b"".join(kept_pieces(data, spans)[0]).decode("utf-8", "ignore") if value else None)
-            column = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_arrays([column if c == "text" else batch.column(c) for c in names], names)
-
-    joined = _with_spans(docs, length, "doc_id", "text", gram, limit)
-    return joined.select(*names, "spans").mapInArrow(run, docs.schema)
+            out = []
+            for (data, spans), value in zip(_rows(batch, text), batch.column(text).is_valid().to_pylist(), strict=True):
+                out.append(b"".join(kept_pieces(data, spans)[0]).decode("utf-8", "ignore") if value else None)
+            column = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([column if c == text else batch.column(c) for c in names], names)
+
+    joined = keyed.join(repeated_spans(keyed, text, length, gram, limit), ["rid", "th"], "left")
+    return joined.select(*names, "spans").mapInArrow(run, keyed.select(*names).schema).toDF(*docs.columns)
