@@ -395,26 +395,47 @@ def active(disabled=(), placeholder_domains_as_pii: bool = False) -> tuple[Detec
     return tuple(replace(d, check="") if placeholder_domains_as_pii and d.name == "email_address" else d for d in kept)
 
 
-def gate(text: Column, detectors=DETECTORS) -> Column:
-    """The verdict struct of a text column."""
+def gate_and_redact(text: Column, placeholder: str = "[{name}]", detectors=DETECTORS) -> Column:
+    """struct<verdict, text, n>: the verdict, the redacted text and the number of replacements.
 
-    @F.pandas_udf(GATE)
+    One Arrow UDF, which gets only the texts that the screen lets through; the others share one clean verdict.
+    """
+
+    @F.pandas_udf(f"struct<verdict:{GATE},text:string,n:int>")
     def run(texts):
         import pandas as pd
 
-        return pd.DataFrame([verdict(t, detectors) for t in texts])
+        clean, rows = (verdict(None, detectors), None, 0), []
+        for t in texts:
+            rows.append((verdict(t, detectors), *redacted(t, placeholder, detectors)) if t else clean)
+        return pd.DataFrame(rows, columns=["verdict", "text", "n"])
+
+    done = run(screened(text))
+    return F.struct(done["verdict"].alias("verdict"), F.coalesce(done["text"], text).alias("text"), F.coalesce(done["n"], F.lit(0)).alias("n"))
+
 
-    return run(screened(text))
+def gate(text: Column, detectors=DETECTORS) -> Column:
+    """The verdict struct of a text column."""
+    return gate_and_redact(text, detectors=detectors)["verdict"]
 
 
 def redact(text: Column, placeholder: str = "[{name}]", detectors=DETECTORS) -> Column:
     """struct<text, n>: the redacted text and the number of replacements."""
+    done = gate_and_redact(text, placeholder, detectors)
+    return F.struct(done["text"].alias("text"), done["n"].alias("n"))
 
-    @F.pandas_udf("struct<text:string,n:int>")
-    def run(texts):
-        import pandas as pd
 
-        return pd.DataFrame([redacted(t, placeholder, detectors) for t in texts], columns=["text", "n"])
+def mask_secrets(text: Column, detectors=DETECTORS) -> Column:
+    """The text with every hard match shown by its detector's name, for printed examples."""
+    return redact(text, "[masked-{name}]", detectors)["text"]
 
-    done = run(screened(text))
-    return F.struct(F.coalesce(done["text"], text).alias("text"), F.coalesce(done["n"], F.lit(0)).alias("n"))
+
+def redaction_map(text: Column, detectors=DETECTORS) -> Column:
+    """array<struct<detector, start, end>> of accepted hard matches in the text itself, detector by detector."""
+    hard = [d for d in detectors if not d.advisory]
+
+    @F.pandas_udf("array<struct<detector:string,start:int,end:int>>")
+    def run(texts):
+        return texts.map(lambda t: [{"detector": d.name, "start": a, "end": b} for a, b, d in spans(t or "", hard)])
+
+    return F.coalesce(run(screened(text)), F.expr("cast(array() as array<struct<detector:string,start:int,end:int>>)"))

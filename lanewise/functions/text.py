@@ -18,6 +18,7 @@ URL = r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s<>\"']+"
 STACK_FRAME = r"(?m)(?:at\s+[\w.$<>]+\s*\([^)]*\)|File\s+\"[^\"]+\",\s+line\s+\d+|^\s*#\d+\s+0x[0-9a-f]+)"
 DIFF_LINE = r"(?m)^(?:[+-]{3}\s|@@\s|[-+](?!---|\+\+))"
 JSONISH = r"(?s)^\s*[\[{].*[\]}]\s*$"
+WORD = r"(?U)[^\W\d_]+"
 SENTENCE_END = r"[.!?]+\s"
 STOP_WORDS = {
     "en": ("the", "and", "is", "of", "to", "you", "that", "it", "for", "with"),
@@ -80,21 +81,26 @@ def hash_text(text: Column, salt: str = "") -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words of letters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W\d_]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def detect_language(text: Column) -> Column:
     """Language with the most stop words (the first of equals); ``und`` when there are too few."""
-    return F.element_at(F.transform(F.array(words(text)), _language_of), 1)
+    low = F.lower(text)
+    # one pass takes out the stop words of all languages, so that the lists see few words
+    every = "|".join(sorted({w for stops in STOP_WORDS.values() for w in stops}, key=lambda w: (-len(w), w)))
+    stops = F.regexp_extract_all(low, F.lit(rf"(?U)(?<![\w&&[^\d_]])(?:{every})(?![\w&&[^\d_]])"), F.lit(0))
+    return F.element_at(F.transform(F.array(F.struct(stops.alias("w"), F.regexp_count(low, F.lit(WORD)).alias("n"))), _language_of), 1)
 
 
 def _language_of(found: Column) -> Column:
-    hits = lambda stops: F.size(F.filter(found, lambda w: w.isin(*stops)))
+    # a list of more than ten literals is looked up by hash; no word is empty
+    hits = lambda stops: F.size(F.filter(found["w"], lambda w: w.isin(*stops, "")))
     counts = F.array(*[hits(stops) for stops in STOP_WORDS.values()])
     best = F.element_at(F.transform(F.array(counts), lambda c: F.struct(F.array_max(c).alias("n"), F.array_position(c, F.array_max(c)).cast("int").alias("at"))), 1)
     name = F.element_at(F.array(*[F.lit(x) for x in STOP_WORDS]), best["at"])
-    least = F.greatest(F.lit(2), F.floor(F.size(found) / 40).cast("int"))
-    return F.when((F.size(found) >= 4) & (best["n"] >= least), name).otherwise("und")
+    least = F.greatest(F.lit(2), F.floor(found["n"] / 40).cast("int"))
+    return F.when((found["n"] >= 4) & (best["n"] >= least), name).otherwise("und")
 
 
 def _share(text: Column, pattern: str) -> Column:

@@ -9,24 +9,39 @@ from pyspark.sql import functions as F
 
 from lanewise import schema
 from lanewise.functions import decision, detectors, text
+from lanewise.operators import semantic as layer
 from lanewise.plans.policy import Policy
+from lanewise.plans.providers import prefilter_outcome, with_prefilter
 
 Backend = Callable[[DataFrame], DataFrame]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows to all cores where the input has fewer splits than those; larger inputs stay as they are read.
+
+    For plans that compute much per row: select the needed columns before.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions() > cores:
+        return df
+    return df.repartition(cores)
+
+
 def prepare(requests: DataFrame, text_col: str = "text", messages_col: str | None = None, gate: str = "exact") -> DataFrame:
     """Adds excerpt, gate verdict, redacted excerpt and features.
 
     ``gate="native"`` keeps the plan in the JVM: it reads the text itself (no decoded variants, no
     suppression, no redaction) and is the pre-screen of the exact gate.
     """
+    requests = spread(requests)
     messages = F.col(messages_col) if messages_col else None
     excerpt = text.excerpt_messages(messages) if messages_col else text.excerpt_text(F.col(text_col))
     df = requests.withColumn("excerpt", excerpt)
     if gate == "native":
         df = df.withColumn("gate", native_verdict(F.col("excerpt"))).withColumn("redacted", F.col("excerpt"))
     else:
-        df = df.withColumn("gate", detectors.gate(F.col("excerpt"))).withColumn("redacted", detectors.redact(F.col("excerpt"))["text"])
+        df = df.withColumn("checked", detectors.gate_and_redact(F.col("excerpt")))
+        df = df.withColumns({"gate": F.col("checked.verdict"), "redacted": F.col("checked.text")}).drop("checked")
     return df.withColumn("features", text.features(F.col("redacted"), messages))
 
 
@@ -97,9 +112,16 @@ def backend(name: str | Backend) -> Backend:
 
 
 def resolve(df: DataFrame, policy: Policy = Policy(), still_classify: bool = True) -> DataFrame:
-    """Merge the gate, escalate where the answer is unsure, apply the rules."""
+    """Merge the gate, escalate where the answer is unsure, apply the rules.
+
+    A ``semantic`` column (the second layer) raises the floor where it enforces; a ``single`` column (the tier
+    pre-filter) decides its rows without the scorer's answer.
+    """
     u, gate = policy.uncertainty, F.col("gate")
     skipped = F.lit(False) if still_classify else gate["blocks_backend"]
+    if "single" in df.columns:
+        skipped = skipped | F.col("single")
+    floors = [gate["sensitivity_floor"], *([F.col("semantic.sensitivity_floor")] if "semantic" in df.columns else [])]
     if "degraded" not in df.columns:
         df = df.withColumn("degraded", F.lit(False))
     if policy.confidence_factor is not None:
@@ -121,7 +143,7 @@ def resolve(df: DataFrame, policy: Policy = Policy(), still_classify: bool = Tru
     df = df.withColumns(
         {
             "complexity": decision.escalated(F.col("complexity"), F.col("complexity_confidence"), u.complexity_below, u.complexity_bump, schema.COMPLEXITY, counts),
-            "merged_sensitivity": decision.merged_sensitivity(F.col("sensitivity"), gate["sensitivity_floor"]),
+            "merged_sensitivity": decision.merged_sensitivity(F.col("sensitivity"), *floors),
             "pii": F.greatest("pii", gate["pii_floor"]),
         }
     )
@@ -146,6 +168,8 @@ def resolve(df: DataFrame, policy: Policy = Policy(), still_classify: bool = Tru
         other = policy.fallback(F.col("decided.tier"), F.col("decided.model"))
         df = df.withColumn("uncertain", unsure)
         df = df.withColumn("decided", F.when(unsure, F.col("decided").withField("tier", other["tier"]).withField("model", other["model"])).otherwise(F.col("decided")))
+    if "single" in df.columns:
+        df = df.withColumn("decided", F.when(F.col("single"), prefilter_outcome(policy)).otherwise(F.col("decided")))
     broken = F.col("degraded") & F.col("classified")
     tier = F.when(broken, policy.failure_tier(gate["sensitivity_floor"], gate["force_local"])).otherwise(F.col("decided.tier"))
     rule = F.when(broken, "backend.down").otherwise(F.col("decided.rule_id"))
@@ -157,7 +181,7 @@ def _namespace(df: DataFrame) -> dict[str, Column]:
     gate, f = F.col("gate"), F.col("features")
     out = {
         "gate_fired": gate["fired"],
-        "gate_force_local": gate["force_local"],
+        "gate_force_local": gate["force_local"] | F.col("semantic.enforced") if "semantic" in df.columns else gate["force_local"],
         "gate_blocks_backend": gate["blocks_backend"],
         "gate_sensitivity_floor": gate["sensitivity_floor"],
         "n_gate_findings": F.size(gate["findings"]),
@@ -171,9 +195,14 @@ def _namespace(df: DataFrame) -> dict[str, Column]:
     return {v: out.get(v, F.lit(None)) for v in VARIABLES}
 
 
-def route(requests: DataFrame, policy: Policy = Policy(), scorer: str | Backend = "keyless", text_col: str = "text", messages_col: str | None = None, gate: str = "exact", still_classify: bool = True) -> DataFrame:
-    """One decision per request."""
-    return resolve(backend(scorer)(prepare(requests, text_col, messages_col, gate)), policy, still_classify)
+def route(requests: DataFrame, policy: Policy = Policy(), scorer: str | Backend = "keyless", text_col: str = "text", messages_col: str | None = None, gate: str = "exact", still_classify: bool = True, semantic: dict | None = None) -> DataFrame:
+    """One decision per request.  ``semantic`` holds the second layer's settings (weights, bias, threshold, mode)."""
+    df = prepare(requests, text_col, messages_col, gate)
+    if semantic is not None:
+        df = layer.assess(df, **semantic)
+    if policy.prefilter:
+        df = with_prefilter(df, policy, semantic_local=F.col("semantic.enforced") if semantic is not None else None)
+    return resolve(backend(scorer)(df), policy, still_classify)
 
 
 def with_round_robin(decisions: DataFrame, policy: Policy, order: str) -> DataFrame:
