@@ -172,7 +172,8 @@ def parsed_answers(df: DataFrame, raw: str, domain: bool = True, aliases: bool =
     for head, names in ALIASES.items():
         paths = [f"$.answers.{n}" for n in (names if aliases else names[:1])]
         df = df.withColumn(f"_{head}", _first_object(F.col("_body"), paths))
-    df = df.withColumn("pii", F.coalesce(F.least(F.greatest(number(F.col("_pii"), "$.noul"), decision.d(0)), decision.d(1)), decision.d(0.5)))
+    said = number(F.col("_pii"), "$.noul")
+    df = df.withColumn("pii", F.when(said.isNull(), 0.5).otherwise(F.least(F.greatest(said, decision.d(0)), decision.d(1))))
     for head in ("complexity", "sensitivity", "domain"):
         if head == "domain" and not domain:
             df = df.withColumn("_domain", uniform(DOMAINS))

@@ -38,14 +38,25 @@ def nearest_rank(value: Column, q: float) -> Column:
     return F.try_element_at(ordered, F.least(F.floor(F.lit(q) * F.size(ordered)).cast("int") + 1, F.size(ordered)))
 
 
-def nearest_rank_of(df: DataFrame, value: str, quantiles: Sequence[float]) -> DataFrame:
-    """(q, value) by nearest rank without gathering the values: counts of distinct values, then running sums."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.select("v", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    hits = [F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1), F.col("v"))).alias(f"q{i}") for i, q in enumerate(quantiles)]
-    one = run.agg(*hits)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"q{i}").alias("value")) for i, q in enumerate(quantiles)])).alias("x")).select("x.*")
+def nearest_rank_of(df: DataFrame, value: str, quantiles: Sequence[float], bins: int = 4096) -> DataFrame:
+    """(q, value) by nearest rank without gathering or sorting the values.
+
+    Counts over equal ranges of the values (one pass for the ends, one for the counts) say which range holds each rank;
+    only the distinct values of those ranges are counted and ranked, per quantile.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.col(value).cast("double").alias("x"))
+    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    placed = rows.crossJoin(F.broadcast(ends)).select("v", at.cast("int").alias("bin"))
+    counts = placed.groupBy("bin").agg(F.count("*").alias("c"))  # at most ``bins`` rows
+    upto = F.sum("c").over(Window.orderBy("bin"))
+    ranges = counts.select("bin", (upto - F.col("c")).alias("before"), upto.alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    asked = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
+    ranges = ranges.withColumn("q", asked).withColumn("rank", F.least(F.floor(F.col("q") * F.col("n")), F.col("n") - 1))
+    wanted = ranges.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))).select("bin", "q", "rank", "before")
+    inside = placed.join(F.broadcast(wanted), "bin").groupBy("q", "rank", "before", "v").agg(F.count("*").alias("c"))
+    run = F.col("before") + F.sum("c").over(Window.partitionBy("q").orderBy("v"))
+    return inside.withColumn("upto", run).where("upto > rank").groupBy("q").agg(F.min("v").alias("value"))
 
 
 def latency_summary(df: DataFrame, value: str) -> DataFrame:

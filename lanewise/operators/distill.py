@@ -13,6 +13,8 @@ from lanewise.functions import decision, text
 
 # Fixed values of the vectorizer and the trainer.
 MAX_VOCAB, MIN_DF, HOLDOUT = 4096, 2, 0.2
+#: Rows that the lexicon's training takes to the driver at most.
+LEXICON_SAMPLE = 50_000
 
 
 def skip_reason(df: DataFrame, need_text: bool = True) -> Column:
@@ -198,17 +200,18 @@ def predictions(rows: DataFrame, model: Student, columns: Sequence[str], id_col:
 # ------------------------------------------------------------ calibration
 
 
-def pool_adjacent(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
-    """Isotonic fit: (break, value) of each block, breaks at a block's largest x."""
+def pool_adjacent(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[list[float], list[float]]:
+    """Isotonic fit of values ``y``, that stand for ``n`` rows each: (break, value) of each block, breaks at a block's largest x."""
+    n = np.ones(len(x)) if n is None else n
     order = np.argsort(x, kind="stable")
     if len(x) == 0 or len(np.unique(x)) == 1:
         return [], []
     blocks: list[list[float]] = []  # [sum, count, largest x]
-    for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([float(b), 1.0, float(a)])
+    for a, b, w in zip(x[order], y[order], n[order], strict=True):
+        blocks.append([float(b * w), float(w), float(a)])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-            s, n, top = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, top]
+            s, weight, top = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + weight, top]
     return [b[2] for b in blocks], [b[0] / b[1] for b in blocks]
 
 
@@ -219,9 +222,7 @@ def fit_isotonic(samples: DataFrame, by: str = "head", x: str = "x", y: str = "y
     sums = samples.groupBy(by, x).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count("*").alias("n"))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        xs = np.repeat(rows[x].to_numpy(), rows["n"])
-        ys = np.repeat((rows["s"] / rows["n"]).to_numpy(), rows["n"])
-        breaks, values = pool_adjacent(xs, ys)
+        breaks, values = pool_adjacent(rows[x].to_numpy(), (rows["s"] / rows["n"]).to_numpy(), rows["n"].to_numpy(float))
         return pd.DataFrame({by: [key[0]], "breaks": [breaks], "values": [values]})
 
     return sums.groupBy(by).applyInPandas(run, f"{by} string, breaks array<double>, values array<double>")
@@ -238,10 +239,12 @@ def fit_temperature(samples: DataFrame, p: str, target: str, low: float = 0.05,
     return float(np.sqrt(low * high))
 
 
-def train_lexicon(rows: DataFrame, tokens: Column, label: str, vocab: DataFrame, epochs: int = 120, rate: float = 1.0, l2: float = 1e-3) -> tuple[dict[str, float], float]:
-    """Presence-feature logistic weights by batch gradient descent on a bounded training table."""
+def train_lexicon(rows: DataFrame, tokens: Column, label: str, vocab: DataFrame, epochs: int = 120, rate: float = 1.0, l2: float = 1e-3, sample: int = LEXICON_SAMPLE) -> tuple[dict[str, float], float]:
+    """Presence-feature logistic weights by batch gradient descent on at most ``sample`` rows, those with the least hashes."""
     names = [r["token"] for r in vocab.orderBy("col").collect()]  # at most the vocabulary's bound
     index = {t: i for i, t in enumerate(names)}
+    if sample:
+        rows = rows.orderBy(F.xxhash64(tokens, label)).limit(sample)
     got = rows.select(F.array_intersect(F.array_distinct(tokens), F.array(*[F.lit(t) for t in names])).alias("t"), F.col(label).cast("double").alias("y")).toArrow()
     ids = [[index[t] for t in ts] for ts in got.column("t").to_pylist()]
     y = np.array(got.column("y").to_pylist())

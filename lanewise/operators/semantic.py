@@ -50,7 +50,9 @@ def prefer_shadow(offline: DataFrame, shadow: DataFrame | None, version: str) ->
         return offline
     same = shadow.where(F.col("model_version") == version).drop("model_version")
     names = [c for c in same.columns if c in offline.columns]
-    joined = offline.crossJoin(F.broadcast(same.select(*[F.col(c).alias(f"_{c}") for c in same.columns])))
+    # one row: the first by its values, and nulls where the version was not shadowed
+    one = same.agg(*[F.min_by(c, F.struct(*same.columns)).alias(f"_{c}") for c in same.columns])
+    joined = offline.crossJoin(F.broadcast(one))
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in names}).drop(*[f"_{c}" for c in same.columns])
 
 

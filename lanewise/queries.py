@@ -11,7 +11,7 @@ from lanewise import schema
 from lanewise.functions import decision, detectors, text
 from lanewise.operators import analytics, dedupe, distill
 from lanewise.plans.policy import Policy
-from lanewise.plans.route import decision_records, keyless, resolve, route, trace_oracle
+from lanewise.plans.route import decision_records, keyless, resolve, route, spread, trace_oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,7 +83,8 @@ FEATURES = {
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    # what follows computes much per row: a small table, read in few splits, is dealt to all cores first
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return docs.select("doc_id", "lang", "source", text.excerpt_text(F.col("text")).alias("excerpt"))
 
 

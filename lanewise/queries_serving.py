@@ -87,7 +87,7 @@ def _parsed(spark, sf_dir) -> DataFrame:
     return answers.parsed_answers(raw, "raw")
 
 
-@query(f"WITH {PARSED} SELECT id, {', '.join(_picked_sql(h) for h in answers.LADDERS)}, coalesce(least(1, greatest(0, n_pii)), 0.5)::DOUBLE AS pii FROM kk")
+@query(f"WITH {PARSED} SELECT id, {', '.join(_picked_sql(h) for h in answers.LADDERS)}, CASE WHEN n_pii IS NULL THEN 0.5 ELSE least(1, greatest(0, n_pii)) END::DOUBLE AS pii FROM kk")
 def parsed_answers(spark, sf_dir):
     """Response bodies, whole and broken, as choices, shares and confidences."""
     rows = _parsed(spark, sf_dir)
@@ -95,7 +95,7 @@ def parsed_answers(spark, sf_dir):
     return rows.select("id", *out, "pii")
 
 
-@query(f"WITH {PARSED}, s AS (SELECT {', '.join(_picked_sql(h) for h in answers.LADDERS)}, coalesce(least(1, greatest(0, n_pii)), 0.5) AS pii FROM kk) SELECT complexity, sensitivity, domain, count(*) AS n, round(avg(pii), 6) AS pii FROM s GROUP BY ALL")
+@query(f"WITH {PARSED}, s AS (SELECT {', '.join(_picked_sql(h) for h in answers.LADDERS)}, CASE WHEN n_pii IS NULL THEN 0.5 ELSE least(1, greatest(0, n_pii)) END AS pii FROM kk) SELECT complexity, sensitivity, domain, count(*) AS n, round(avg(pii), 6) AS pii FROM s GROUP BY ALL")
 def cached_results(spark, sf_dir):
     """Results written as text for a shared cache and read back, with whole distributions."""
     rows = _parsed(spark, sf_dir).withColumns({"model_version": F.lit("v1"), "latency_ms": F.lit(1.5), "degraded": F.lit(False), "degrade_reason": F.lit(None).cast("string")})

@@ -72,7 +72,7 @@ def discard(df: DataFrame) -> None:
 
 
 def fan_out(sinks: Sequence[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that feeds every sink; a failing sink does not keep the others from it."""
+    """A foreachBatch function that feeds every sink; a failing sink does not keep the others from it, and all failures are raised together."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.persist()
@@ -81,27 +81,71 @@ def fan_out(sinks: Sequence[Callable[[DataFrame, int], None]]) -> Callable[[Data
             for sink in sinks:
                 try:
                     sink(batch, epoch)
-                except Exception as error:  # counted, then raised together
+                except Exception as error:
                     errors.append(error)
         finally:
             batch.unpersist()
-        if errors and len(errors) == len(sinks):
-            raise errors[0]
+        if errors:
+            raise ExceptionGroup("sinks failed", errors)
 
     return write
 
 
+def write_epoch(df: DataFrame, path: str, epoch: int, rows_per_file: int = 1_000_000) -> None:
+    """JSON lines of one micro-batch in a folder of its own, so that writing it again replaces it."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(f"{path.rstrip('/')}/epoch={epoch}")
+
+
 def two_streams(decision_path: str, refusal_path: str) -> Callable[[DataFrame, int], None]:
-    """Decisions and refusals of one micro-batch, to places of their own."""
+    """Decisions and refusals of one micro-batch, to places of their own.
+
+    The batch is routed once, and a repeated epoch replaces what it wrote before.
+    """
     from lanewise.plans.route import decision_records, refusal_records
 
     def write(batch: DataFrame, epoch: int) -> None:
-        write_log(decision_records(batch), decision_path)
-        write_log(refusal_records(batch), refusal_path)
+        batch.persist()
+        try:
+            write_epoch(decision_records(batch), decision_path, epoch)
+            write_epoch(refusal_records(batch), refusal_path, epoch)
+        finally:
+            batch.unpersist()
 
     return write
 
 
+def sink(config: dict | None) -> Callable[[DataFrame, int], None]:
+    """The sink that a configuration names: none, a log, or one log among several."""
+    config = dict(config or {})
+    if not config.get("enabled", True) or not config.get("path"):
+        return lambda batch, epoch: discard(batch)
+    return lambda batch, epoch: write_epoch(batch, config["path"], epoch, int(config.get("rows_per_file", 1_000_000)))
+
+
+def dataset_file(folder: str) -> str:
+    """The data file of a dataset folder: dataset.jsonl, train.jsonl, or the first JSON lines by name."""
+    from pathlib import Path
+
+    path = Path(folder)
+    if path.is_file():
+        return str(path)
+    names = [path / "dataset.jsonl", path / "train.jsonl", *sorted(path.glob("*.jsonl"))]
+    found = next((n for n in names if n.exists()), None)
+    if found is None:
+        raise FileNotFoundError(f"no JSON lines in {folder}")
+    return str(found)
+
+
+def read_window(spark: SparkSession, path: str, table_schema: str, order: str, most: int = 5000) -> DataFrame:
+    """The newest ``most`` rows of a stored window; a malformed line is an error."""
+    return spark.read.schema(table_schema).option("mode", "FAILFAST").json(path).orderBy(F.desc(order)).limit(most)
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Injection cases as JSON lines: id, category, text, expect."""
+    return spark.read.schema("id string, category string, text string, expect string").json(path)
+
+
 # ------------------------------------------------------------ payloads
 
 PART = "struct<type:string,text:string>"

@@ -34,11 +34,18 @@ def exact_cache(requests: DataFrame, key: str, ts: str, ttl: str = "15 minutes")
     return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def ttl_cache(requests: DataFrame, key: str = "key", ts: str = "ts", ttl_seconds: float = 900.0) -> DataFrame:
-    """(key, ts, hit) of every request against a per-key cache whose entries live ``ttl_seconds``."""
+def ttl_cache(requests: DataFrame, key: str = "key", ts: str = "ts", ttl_seconds: float = 900.0, late: str = "10 minutes") -> DataFrame:
+    """(key, t, hit) of every request against a per-key cache whose entries live ``ttl_seconds``.
+
+    ``ts`` is a timestamp or seconds.  A key's state goes when the watermark has passed its time to live, so state is
+    bounded by the keys of that span.
+    """
     import pandas as pd
 
     def run(name, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         stored = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("t")
         hits = []
@@ -47,10 +54,17 @@ def ttl_cache(requests: DataFrame, key: str = "key", ts: str = "ts", ttl_seconds
             stored = stored if hit else t
             hits.append(hit)
         state.update((stored,))
+        gone = int(1000 * (stored + ttl_seconds)) + 1
+        if gone > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(gone)
         yield pd.DataFrame({"key": name[0], "t": rows["t"].to_numpy(), "hit": hits})
 
-    slim = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("double").alias("t"))
-    return slim.groupBy("key").applyInPandasWithState(run, "key string, t double, hit boolean", "stored double", "append", "NoTimeout")
+    timed = requests.schema[ts].dataType.simpleString() == "timestamp"
+    at = F.col(ts) if timed else F.timestamp_seconds(F.col(ts).cast("double"))
+    slim = requests.select(F.col(key).cast("string").alias("key"), (F.unix_micros(at) / 1e6 if timed else F.col(ts).cast("double")).alias("t"), (at + F.expr("INTERVAL 1 MILLISECOND")).alias("_ts"))
+    # a row at the watermark counts as late: the first watermark is 0, which a row may have
+    slim = slim.withWatermark("_ts", late)
+    return slim.groupBy("key").applyInPandasWithState(run, "key string, t double, hit boolean", "stored double", "append", "EventTimeTimeout")
 
 
 def drift_monitor(records: DataFrame, baseline: int = analytics.BASELINE_SIZE, factor: float = analytics.DRIFT_FACTOR) -> DataFrame:
