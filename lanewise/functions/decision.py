@@ -163,9 +163,9 @@ def nudge(text: Column) -> Column:
     return (F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / d(4294967295) - 0.5) * 0.6
 
 
-def complexity_scores(text: Column, f: Column) -> Column:
+def complexity_score(text: Column, f: Column) -> Column:
     least = lambda c, most: F.least(c, F.lit(most)).cast("double")
-    score = (
+    return (
         marker_score(F.lower(text), COMPLEXITY_MARKERS)
         + F.least(d(2), F.log1p(f["char_len"].cast("double")) / 4)
         + 0.8 * least(f["code_blocks"], 3)
@@ -176,16 +176,26 @@ def complexity_scores(text: Column, f: Column) -> Column:
         - F.when(f["char_len"] < 40, 1.2).otherwise(0.0)
         + nudge(text)
     )
-    return once(score, lambda s: F.array(-s * 1.1, 1.0 - F.abs(s - 1.0) * 0.75, s - 1.4, s - 3.1))
 
 
-def sensitivity_scores(text: Column, n_topics: Column) -> Column:
+def complexity_bands(s: Column) -> list[Column]:
+    return [-s * 1.1, 1.0 - F.abs(s - 1.0) * 0.75, s - 1.4, s - 3.1]
+
+
+def complexity_scores(text: Column, f: Column) -> Column:
+    return once(complexity_score(text, f), lambda s: F.array(*complexity_bands(s)))
+
+
+def sensitivity_score(text: Column, n_topics: Column) -> Column:
     low = F.lower(text)
-    score = marker_score(low, SENSITIVITY_MARKERS) + marker_score(low, ABOUT_MARKERS) + 0.3 * n_topics.cast("double") + nudge(text) * 0.5
-    return once(score, lambda s: F.array(-s * 1.0 + 0.9, 1.1 - F.abs(s - 1.1) * 0.7, s - 1.2, s - 2.6))
+    return marker_score(low, SENSITIVITY_MARKERS) + marker_score(low, ABOUT_MARKERS) + 0.3 * n_topics.cast("double") + nudge(text) * 0.5
+
 
+def sensitivity_bands(s: Column) -> list[Column]:
+    return [-s * 1.0 + 0.9, 1.1 - F.abs(s - 1.1) * 0.7, s - 1.2, s - 2.6]
 
-def domain_scores(text: Column, f: Column) -> Column:
+
+def domain_score_list(text: Column, f: Column) -> list[Column]:
     extra = {
         "code": F.when((f["code_blocks"] > 0) | (f["inline_code_spans"] > 0), 1.2).otherwise(0.0) + F.when(f["has_stack_trace"], 0.8).otherwise(0.0),
         "data-extraction": F.when(f["has_json"] | (f["urls"] > 0), 0.8).otherwise(0.0),
@@ -194,27 +204,45 @@ def domain_scores(text: Column, f: Column) -> Column:
     score = {name: d(0.35) + extra.get(name, d(0)) for name in DOMAINS}
     for pattern, name, weight in DOMAIN_MARKERS:
         score[name] = score[name] + F.when(text.rlike("(?i)" + pattern), d(weight)).otherwise(d(0))
-    return F.array(*[score[name] for name in DOMAINS])
+    return [score[name] for name in DOMAINS]
+
+
+def with_softmax(df, name: str, scores: Sequence[Column], names: Sequence[str], temperature: float = TEMPERATURE):
+    """Adds <name>_p, the choice <name> and <name>_confidence of the softmax of some scores.
+
+    The steps are columns of their own, so that none is computed twice and all stay in generated code.
+    """
+    at = range(len(scores))
+    s, e, p = ([f"_{name}_{x}{i}" for i in at] for x in "sep")
+    df = df.withColumns(dict(zip(s, scores, strict=True)))
+    top = F.greatest(*s)
+    df = df.withColumns({c: F.exp(F.col(x) / temperature - top / temperature) for c, x in zip(e, s, strict=True)})
+    whole = sum((F.col(x) for x in e), d(0))
+    df = df.withColumns({c: F.round(F.col(x) / whole, 6) for c, x in zip(p, e, strict=True)})
+    best = F.greatest(*p)
+    first = F.lit(len(p) - 1)
+    for i in reversed(at):
+        first = F.when(F.col(p[i]) == best, i).otherwise(first)
+    df = df.withColumns({f"_{name}_best": best, f"_{name}_at": first})
+    here = F.col(f"_{name}_at")
+    second = F.greatest(*[F.when(here != i, F.col(c)) for i, c in enumerate(p)])
+    choice = F.lit(names[-1])
+    for i in reversed(at):
+        choice = F.when(here == i, names[i]).otherwise(choice)
+    df = df.withColumns({f"{name}_p": F.array(*p), name: choice, f"{name}_confidence": F.round(F.least(F.greatest(F.col(f"_{name}_best") - second, d(0)), d(1)), 6)})
+    return df.drop(*s, *e, *p, f"_{name}_best", f"_{name}_at")
 
 
 def with_answers(df, text: str = "excerpt", features: str = "features", topics: Column | None = None):
     """Adds the keyless scorer's answers: *_p arrays, choices, confidences and pii."""
     topics = F.lit(0) if topics is None else topics
-    df = df.withColumn("complexity_p", softmax(complexity_scores(F.col(text), F.col(features))))
-    df = df.withColumn("sensitivity_p", softmax(sensitivity_scores(F.col(text), topics)))
-    df = df.withColumn("domain_p", softmax(domain_scores(F.col(text), F.col(features))))
+    t, f = F.col(text), F.col(features)
+    df = df.withColumns({"_complexity": complexity_score(t, f), "_sensitivity": sensitivity_score(t, topics)})
+    df = with_softmax(df, "complexity", complexity_bands(F.col("_complexity")), COMPLEXITY)
+    df = with_softmax(df, "sensitivity", sensitivity_bands(F.col("_sensitivity")), SENSITIVITY)
+    df = with_softmax(df, "domain", domain_score_list(t, f), DOMAINS).drop("_complexity", "_sensitivity")
     mass = F.col("sensitivity_p")[2] + F.col("sensitivity_p")[3]
-    return df.withColumns(
-        {
-            "complexity": argmax(F.col("complexity_p"), COMPLEXITY),
-            "sensitivity": argmax(F.col("sensitivity_p"), SENSITIVITY),
-            "domain": argmax(F.col("domain_p"), DOMAINS),
-            "complexity_confidence": margin(F.col("complexity_p")),
-            "sensitivity_confidence": margin(F.col("sensitivity_p")),
-            "domain_confidence": margin(F.col("domain_p")),
-            "pii": F.round(F.greatest(d(0.01), F.least(d(0.99), mass * 0.9)), 6),
-        }
-    )
+    return df.withColumn("pii", F.round(F.greatest(d(0.01), F.least(d(0.99), mass * 0.9)), 6))
 
 
 # ------------------------------------------------------------ merging and escalation

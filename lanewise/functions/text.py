@@ -85,26 +85,26 @@ def words(text: Column) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """Language with the most stop words (the first of equals); ``und`` when there are too few."""
+    """Language with the most stop words (the first of equals); ``und`` when there are too few.
+
+    Plain functions only, so that the plan stays in generated code: one pass takes out the stop words of all
+    languages, and each language counts its own in what is left.
+    """
     low = F.lower(text)
-    # one pass takes out the stop words of all languages, so that the lists see few words
     every = "|".join(sorted({w for stops in STOP_WORDS.values() for w in stops}, key=lambda w: (-len(w), w)))
-    stops = F.regexp_extract_all(low, F.lit(rf"(?U)(?<![\w&&[^\d_]])(?:{every})(?![\w&&[^\d_]])"), F.lit(0))
-    return F.element_at(F.transform(F.array(F.struct(stops.alias("w"), F.regexp_count(low, F.lit(WORD)).alias("n"))), _language_of), 1)
-
-
-def _language_of(found: Column) -> Column:
-    # a list of more than ten literals is looked up by hash; no word is empty
-    hits = lambda stops: F.size(F.filter(found["w"], lambda w: w.isin(*stops, "")))
-    counts = F.array(*[hits(stops) for stops in STOP_WORDS.values()])
-    best = F.element_at(F.transform(F.array(counts), lambda c: F.struct(F.array_max(c).alias("n"), F.array_position(c, F.array_max(c)).cast("int").alias("at"))), 1)
-    name = F.element_at(F.array(*[F.lit(x) for x in STOP_WORDS]), best["at"])
-    least = F.greatest(F.lit(2), F.floor(found["n"] / 40).cast("int"))
-    return F.when((found["n"] >= 4) & (best["n"] >= least), name).otherwise("und")
+    found = F.regexp_extract_all(low, F.lit(rf"(?U)(?<![\w&&[^\d_]])(?:{every})(?![\w&&[^\d_]])"), F.lit(0))
+    spaced = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
+    counts = {name: F.regexp_count(spaced, F.lit(f" (?:{'|'.join(stops)}) ")) for name, stops in STOP_WORDS.items()}
+    n, best = F.regexp_count(low, F.lit(WORD)), F.greatest(*counts.values())
+    enough = (n >= 4) & (best >= F.greatest(F.lit(2), F.floor(n / 40).cast("int")))
+    out = F.lit("und")
+    for name, count in reversed(counts.items()):
+        out = F.when(count == best, name).otherwise(out)
+    return F.when(enough, out).otherwise("und")
 
 
 def _share(text: Column, pattern: str) -> Column:
-    """Characters that match ``pattern``."""
+    """Characters that match ``pattern``; patterns match runs, so that a run is replaced at once."""
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
@@ -112,8 +112,8 @@ def features(text: Column, messages: Column | None = None) -> Column:
     """The text-free description of a request as one struct."""
     n = F.length(text)
     found = F.regexp_count(text, F.lit(r"(?U)\S+"))
-    letters = _share(text, r"\p{L}")
-    upper = _share(text, r"\p{Lu}")
+    letters = _share(text, r"\p{L}+")
+    upper = _share(text, r"\p{Lu}+")
     ratio = lambda part, whole, places=4: F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), places)
     trimmed = strip(text)
     if messages is None:
@@ -126,12 +126,13 @@ def features(text: Column, messages: Column | None = None) -> Column:
         n.alias("char_len"),
         found.alias("word_count"),
         F.when(n > 0, F.regexp_count(text, F.lit("\n")) + 1).otherwise(0).alias("line_count"),
-        F.size(F.filter(F.split(text, r"[.!?]+\s"), lambda s: strip(s) != "")).alias("sentence_count"),
-        ratio(_share(text, r"(?U)\S"), found, 3).alias("mean_word_len"),
-        ratio(_share(text, r"\p{Nd}"), n).alias("digit_ratio"),
+        # pieces between sentence ends that hold more than white space
+        F.regexp_count(F.regexp_replace(F.translate(text, "\x01", "x"), SENTENCE_END, "\x01"), F.lit("(?U)[^\\x01\\s][^\\x01]*")).alias("sentence_count"),
+        ratio(_share(text, r"(?U)\S+"), found, 3).alias("mean_word_len"),
+        ratio(_share(text, r"\p{Nd}+"), n).alias("digit_ratio"),
         ratio(upper, F.greatest(letters, F.lit(1))).alias("upper_ratio"),
-        ratio(_share(text, r"(?U)[^\p{L}\p{N}\s]"), n).alias("punct_ratio"),
-        ratio(_share(text, r"[^\x00-\x7F]"), n).alias("non_ascii_ratio"),
+        ratio(_share(text, r"(?U)[^\p{L}\p{N}\s]+"), n).alias("punct_ratio"),
+        ratio(_share(text, r"[^\x00-\x7F]+"), n).alias("non_ascii_ratio"),
         F.floor(F.regexp_count(text, F.lit(CODE_FENCE)) / 2).cast("int").alias("code_blocks"),
         F.regexp_count(text, F.lit(INLINE_CODE)).alias("inline_code_spans"),
         F.regexp_count(text, F.lit(URL)).alias("urls"),
