@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -84,23 +84,42 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def detect_language(text: Column) -> Column:
-    """Language with the most stop words (the first of equals); ``und`` when there are too few.
+#: Takes the stop words of all languages out of a lower-case text in one pass.
+_ANY_STOP = "|".join(sorted({w for stops in STOP_WORDS.values() for w in stops}, key=lambda w: (-len(w), w)))
+_STOPS = rf"(?U)(?<![\w&&[^\d_]])(?:{_ANY_STOP})(?![\w&&[^\d_]])"
 
-    Plain functions only, so that the plan stays in generated code: one pass takes out the stop words of all
-    languages, and each language counts its own in what is left.
-    """
+
+def detect_language(text: Column) -> Column:
+    """Language with the most stop words (the first of equals); ``und`` when there are too few."""
     low = F.lower(text)
-    every = "|".join(sorted({w for stops in STOP_WORDS.values() for w in stops}, key=lambda w: (-len(w), w)))
-    found = F.regexp_extract_all(low, F.lit(rf"(?U)(?<![\w&&[^\d_]])(?:{every})(?![\w&&[^\d_]])"), F.lit(0))
-    spaced = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
-    counts = {name: F.regexp_count(spaced, F.lit(f" (?:{'|'.join(stops)}) ")) for name, stops in STOP_WORDS.items()}
-    n, best = F.regexp_count(low, F.lit(WORD)), F.greatest(*counts.values())
-    enough = (n >= 4) & (best >= F.greatest(F.lit(2), F.floor(n / 40).cast("int")))
-    out = F.lit("und")
-    for name, count in reversed(counts.items()):
-        out = F.when(count == best, name).otherwise(out)
-    return F.when(enough, out).otherwise("und")
+    stops = F.regexp_extract_all(low, F.lit(_STOPS), F.lit(0))
+    return F.element_at(F.transform(F.array(F.struct(stops.alias("w"), F.regexp_count(low, F.lit(WORD)).alias("n"))), _language_of), 1)
+
+
+def _language_of(found: Column) -> Column:
+    # a list of more than ten literals is looked up by hash; no word is empty
+    hits = lambda stops: F.size(F.filter(found["w"], lambda w: w.isin(*stops, "")))
+    counts = F.array(*[hits(stops) for stops in STOP_WORDS.values()])
+    best = F.element_at(F.transform(F.array(counts), lambda c: F.struct(F.array_max(c).alias("n"), F.array_position(c, F.array_max(c)).cast("int").alias("at"))), 1)
+    return _named(found["n"], best["n"], F.element_at(F.array(*[F.lit(x) for x in STOP_WORDS]), best["at"]))
+
+
+def _named(words: Column, best: Column, name: Column) -> Column:
+    return F.when((words >= 4) & (best >= F.greatest(F.lit(2), F.floor(words / 40).cast("int"))), name).otherwise("und")
+
+
+def with_language(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``detect_language`` in columns of their own, so that nothing is counted twice and all stays in generated code."""
+    df = df.withColumn("_low", F.lower(text))
+    spaced = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all("_low", F.lit(_STOPS), F.lit(0)), "  "), F.lit(" "))
+    df = df.withColumns({"_spaced": spaced, "_letters": F.regexp_count("_low", F.lit(WORD))})
+    df = df.withColumns({f"_in_{x}": F.regexp_count("_spaced", F.lit(f" (?:{'|'.join(stops)}) ")) for x, stops in STOP_WORDS.items()})
+    df = df.withColumn("_best", F.greatest(*[f"_in_{x}" for x in STOP_WORDS]))
+    first = F.lit("und")
+    for x in reversed(STOP_WORDS):
+        first = F.when(F.col(f"_in_{x}") == F.col("_best"), x).otherwise(first)
+    df = df.withColumn(name, _named(F.col("_letters"), F.col("_best"), first))
+    return df.drop("_low", "_spaced", "_letters", "_best", *[f"_in_{x}" for x in STOP_WORDS])
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -110,12 +129,22 @@ def _share(text: Column, pattern: str) -> Column:
 
 def features(text: Column, messages: Column | None = None) -> Column:
     """The text-free description of a request as one struct."""
+    found, letters = F.regexp_count(text, F.lit(r"(?U)\S+")), _share(text, r"\p{L}+")
+    return _features(text, messages, found, letters, strip(text), detect_language(text))
+
+
+def with_features(df: DataFrame, text: str, name: str = "features", messages: str | None = None) -> DataFrame:
+    """Adds ``features`` of a column, with what several of them need in columns of their own."""
+    t = F.col(text)
+    df = with_language(df, text, "_lang").withColumns({"_found": F.regexp_count(t, F.lit(r"(?U)\S+")), "_letter_count": _share(t, r"\p{L}+"), "_trimmed": strip(t)})
+    whole = _features(t, F.col(messages) if messages else None, F.col("_found"), F.col("_letter_count"), F.col("_trimmed"), F.col("_lang"))
+    return df.withColumn(name, whole).drop("_lang", "_found", "_letter_count", "_trimmed")
+
+
+def _features(text: Column, messages: Column | None, found: Column, letters: Column, trimmed: Column, language: Column) -> Column:
     n = F.length(text)
-    found = F.regexp_count(text, F.lit(r"(?U)\S+"))
-    letters = _share(text, r"\p{L}+")
     upper = _share(text, r"\p{Lu}+")
     ratio = lambda part, whole, places=4: F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), places)
-    trimmed = strip(text)
     if messages is None:
         n_messages, prior, tools = F.when(n > 0, 1).otherwise(0), F.lit(0), F.lit(False)
     else:
@@ -141,7 +170,7 @@ def features(text: Column, messages: Column | None = None) -> Column:
         text.rlike(STACK_FRAME).alias("has_stack_trace"),
         text.rlike(DIFF_LINE).alias("has_diff"),
         ((trimmed != "") & trimmed.rlike(JSONISH)).alias("has_json"),
-        detect_language(text).alias("lang"),
+        language.alias("lang"),
         n_messages.alias("n_messages"),
         prior.alias("n_prior_turns"),
         tools.alias("tool_output_present"),

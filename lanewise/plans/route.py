@@ -42,7 +42,7 @@ def prepare(requests: DataFrame, text_col: str = "text", messages_col: str | Non
     else:
         df = df.withColumn("checked", detectors.gate_and_redact(F.col("excerpt")))
         df = df.withColumns({"gate": F.col("checked.verdict"), "redacted": F.col("checked.text")}).drop("checked")
-    return df.withColumn("features", text.features(F.col("redacted"), messages))
+    return text.with_features(df, "redacted", "features", messages_col)
 
 
 def native_verdict(excerpt: Column) -> Column:

@@ -102,12 +102,12 @@ def excerpt_text(spark, sf_dir):
     + " FROM docs"
 )
 def text_features(spark, sf_dir):
-    return _requests(spark, sf_dir).select("doc_id", text.features(F.col("excerpt")).alias("f")).select("doc_id", *[F.col(f"f.{c}") for c in FEATURES])
+    return text.with_features(_requests(spark, sf_dir), "excerpt", "f").select("doc_id", *[F.col(f"f.{c}") for c in FEATURES])
 
 
 @query(f"WITH {DOCS}, {LANGUAGE} SELECT doc_id, {LANGUAGE_NAME} AS lang FROM lng")
 def language_guess(spark, sf_dir):
-    return _requests(spark, sf_dir).select("doc_id", text.detect_language(F.col("excerpt")).alias("lang"))
+    return text.with_language(_requests(spark, sf_dir).select("doc_id", "excerpt"), "excerpt", "lang").select("doc_id", "lang")
 
 
 @query("""
@@ -392,7 +392,7 @@ scored AS (SELECT doc_id, t, source, doc_lang, cp, sp, dp, char_len,
 
 def _scored(spark, sf_dir) -> DataFrame:
     """Documents scored by the keyless scorer, without the gate."""
-    docs = _requests(spark, sf_dir).withColumn("redacted", F.col("excerpt")).withColumn("features", text.features(F.col("excerpt")))
+    docs = text.with_features(_requests(spark, sf_dir).withColumn("redacted", F.col("excerpt")), "redacted")
     return decision.with_answers(docs, "redacted", "features")
 
 
