@@ -41,6 +41,26 @@ def bounded_batches(spark: SparkSession, rows: int = 2_000) -> SparkSession:
     return spark
 
 
+def released(run):
+    """``run`` for mapInArrow, giving memory back to the system when its task ends: workers serve many stages."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps what it has
+                pass
+
+    return wrapped
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession

@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import join_groups, materialise, mix, release, row_id, shingle_sets, small_or_shuffled, spans_of, text_buffers
+from lanewise.llm.common import join_groups, materialise, mix, release, released, row_id, shingle_sets, small_or_shuffled, spans_of, text_buffers
 from lanewise.llm.graph import ONE_TASK, components
 
 CHUNK = 512 << 10
@@ -239,7 +239,7 @@ def sketch(texts: DataFrame, width: int, shingles: int) -> tuple[np.ndarray, int
     clearly above that.
     """
     bits = min(SKETCH, max(SKETCH_LEAST, (shingles // 8).bit_length()))
-    found = texts.mapInArrow(_count(width, bits), "block int, counters binary").repartition("block").mapInArrow(_levels, "block int, levels binary")
+    found = texts.mapInArrow(released(_count(width, bits)), "block int, counters binary").repartition("block").mapInArrow(released(_levels), "block int, levels binary")
     levels = np.zeros((1 << bits) // COUNTERS * COUNTERS, np.uint8)
     for row in found.collect():
         levels[row["block"] * COUNTERS : (row["block"] + 1) * COUNTERS] = np.frombuffer(row["levels"], np.uint8)
@@ -293,8 +293,8 @@ def _clusters(texts: DataFrame, width: int, num: int, den: int, shingles: int, o
     choose sets and keep clusters apart."""
     levels, common = sketch(texts, width, shingles)
     shared = texts.sparkSession.sparkContext.broadcast(levels)
-    keys = texts.mapInArrow(_block(width, num, den, shared, common), "key long, sig long")
-    near = keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_reduce, "a long, b long")
+    keys = texts.mapInArrow(released(_block(width, num, den, shared, common)), "key long, sig long")
+    near = keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(released(_reduce), "a long, b long")
     return components(near, "near", one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "cluster")
 
 
@@ -465,8 +465,8 @@ class _Join:
     def linked(self, dealt: DataFrame, places: int) -> DataFrame:
         """Links found in the pages that ``places`` of (rid, sig, places) rows name."""
         got = self.docs.join(small_or_shuffled(dealt.select("rid", "sig", "places"), places), "rid")
-        rows = got.select("text", "sig", "places").mapInArrow(_fetch(self.width), "page long, side int, comp long, sig long, body binary")
-        return materialise(rows.repartition("page").sortWithinPartitions("page").mapInArrow(_link(self.num, self.den), "a long, b long"), "links")
+        rows = got.select("text", "sig", "places").mapInArrow(released(_fetch(self.width)), "page long, side int, comp long, sig long, body binary")
+        return materialise(rows.repartition("page").sortWithinPartitions("page").mapInArrow(released(_link(self.num, self.den)), "a long, b long"), "links")
 
     def parts(self, links: DataFrame) -> DataFrame:
         return components(links, "linked", self.one_task).withColumnRenamed("node", "sig").withColumnRenamed("component", "part")
@@ -583,7 +583,7 @@ def _pair_back(side, other, band, his, i):
 def _grouped(docs: DataFrame, width: int, num: int, den: int, page: int, one_task: int) -> tuple[DataFrame, DataFrame]:
     """(measured, names): all rows, and of the sets that have copies or links: sig, part, component,
     the least row ``k`` of the part and the number ``c`` of its rows."""
-    measured = materialise(docs.mapInArrow(_measure(width), "rid long, doc_id long, th long, n long, sig long"), "sets")
+    measured = materialise(docs.mapInArrow(released(_measure(width)), "rid long, doc_id long, th long, n long, sig long"), "sets")
     sets = measured.where("n > 0").groupBy("sig").agg(
         F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("doc_id").alias("component"), F.min(F.struct("rid", "th")).alias("k"), F.count("*").alias("c")
     )

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import materialise, row_id
+from lanewise.llm.common import materialise, released, row_id
 from lanewise.llm.tokens import batch_ids, default_path
 
 CAPACITY = 4096
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             )
 
     slim = docs.select(row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return slim.mapInArrow(run, "rid long, doc_id long, th long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(released(run), "rid long, doc_id long, th long, piece int, start long, length long, ids_crc32 long")
 
 
 class Gaps:

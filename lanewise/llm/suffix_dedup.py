@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import Hashes, mix, row_id, spans_of, text_buffers
+from lanewise.llm.common import Hashes, mix, released, row_id, spans_of, text_buffers
 
 LENGTH = 200
 GRAM = 50
@@ -520,15 +520,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
 def repeated_spans(keyed: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, limit: int = CLASS, bits: int = 64) -> DataFrame:
     """(rid, th, spans): byte intervals [lo, hi) of each text to be removed; they may overlap."""
     slim = keyed.select("rid", "th", F.col(text).alias("text"))
-    runs = slim.mapInArrow(_anchors(length, gram, bits), "route long, h long, r long, rid long, th long, n int")
-    marks = runs.repartition("route").sortWithinPartitions("h", "r").mapInArrow(_settle(limit), "rid long, th long, h long, r long, flag int")
+    runs = slim.mapInArrow(released(_anchors(length, gram, bits)), "route long, h long, r long, rid long, th long, n int")
+    marks = runs.repartition("route").sortWithinPartitions("h", "r").mapInArrow(released(_settle(limit)), "rid long, th long, h long, r long, flag int")
     # a text that is repeated whole has each mark once, however many rows it has
     marks = marks.groupBy("rid", "th").agg(F.collect_set(F.struct("h", "r", "flag")).alias("marks"))
     schema = "route long, rid long, th long, kind int, lo long, hi long, at int, dlo int, dhi int, body binary"
     # all columns go along, so that this join and the last one read one shuffle of the texts
-    near = keyed.join(marks, ["rid", "th"]).mapInArrow(_surroundings(length, gram, bits, text), schema)
+    near = keyed.join(marks, ["rid", "th"]).mapInArrow(released(_surroundings(length, gram, bits, text)), schema)
     dealt = near.repartition("route").sortWithinPartitions("route", "kind", F.when(F.col("kind") == 2, F.col("body")))
-    spans = dealt.mapInArrow(_sort_suffixes(length, bits), "rid long, th long, lo long, hi long")
+    spans = dealt.mapInArrow(released(_sort_suffixes(length, bits)), "rid long, th long, lo long, hi long")
     return spans.groupBy("rid", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -579,7 +579,7 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit
             )
 
     joined = keyed.join(repeated_spans(keyed, text, length, gram, limit, bits), ["rid", "th"], "left")
-    return joined.select("c0", text, "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("c0", text, "spans").mapInArrow(released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = CLASS) -> DataFrame:
@@ -598,4 +598,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lim
             yield pa.RecordBatch.from_arrays([column if c == text else batch.column(c) for c in names], names)
 
     joined = keyed.join(repeated_spans(keyed, text, length, gram, limit), ["rid", "th"], "left")
-    return joined.select(*names, "spans").mapInArrow(run, keyed.select(*names).schema).toDF(*docs.columns)
+    return joined.select(*names, "spans").mapInArrow(released(run), keyed.select(*names).schema).toDF(*docs.columns)

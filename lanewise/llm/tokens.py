@@ -11,7 +11,7 @@ import numpy as np
 from lanewise.llm.common import text_buffers
 
 END_ID = 1
-CACHE = 500_000
+CACHE = 250_000
 LONGEST = 64
 TOGETHER = 2_000
 _WORKERS: dict[tuple[str, int], WordIds] = {}

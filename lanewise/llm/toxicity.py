@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lanewise.llm.common import IS_PUNCTUATION, LOWER_BYTE, Hashes, mix, spans_of, text_buffers, unused, word_spans
+from lanewise.llm.common import IS_PUNCTUATION, LOWER_BYTE, Hashes, mix, released, spans_of, text_buffers, unused, word_spans
 
 SAMPLE = 6_000
 #: Features of one text in the fit at most: those with the least hashes, of the whole text.
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **settings)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most ``sample`` rows of two numbers: bounded by the parameter
     joined = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.max("toxic").cast("int").alias("toxic"))
-    got = joined.mapInArrow(_sample_features, "toxic int, features binary").toArrow()
+    got = joined.mapInArrow(released(_sample_features), "toxic int, features binary").toArrow()
     rows = [np.frombuffer(b, np.uint32) for b in got.column("features").to_pylist()]
     order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # the model does not hang on the order of arrival
     target = got.column("toxic").to_numpy().astype(float)
@@ -198,7 +198,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
                 out[i:j] = shared.value.scores(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out)], [*names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:

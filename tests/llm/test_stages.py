@@ -226,7 +226,7 @@ def test_source_mix_equals_brute_force(spark):
 
 def test_inclusion_grows_with_size(spark):
     """Long documents are included more often than short ones, by the root of their sizes."""
-    rows = [(k, "w " * (64 if k % 2 else 4), "a") for k in range(4000)] + [(10_000 + k, "w " * 50, "b") for k in range(3000)]
+    rows = [(k, "w " * (64 if k % 2 else 4), "a") for k in range(20_000)] + [(100_000 + k, "w " * 50, "b") for k in range(15_000)]
     got = source_mix.allocate(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 9)).where("source = 'a'").collect()
     share = [np.mean([r.copies for r in got if r.size == s]) for s in (4, 64)]
     assert 3.2 < share[1] / share[0] < 4.8, share
