@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lanewise.functions import text
 
@@ -31,21 +32,35 @@ def score_once(requests: DataFrame, key: str, scorer) -> DataFrame:
 
 
 def cache_hits(events: DataFrame, key: str, order: str, ttl_seconds: float | None = None, ts: str | None = None) -> DataFrame:
-    """Adds ``hit``: whether the key was stored before (within the time to live since its last miss)."""
-    part = Window.partitionBy(key).orderBy(order)
+    """Adds ``hit``: whether the key was stored before (within the time to live since its last miss).
+
+    With a time to live a key's rows are walked in order as they stream by, and only the time of its last miss is kept.
+    """
     if ttl_seconds is None:
-        return events.withColumn("hit", F.row_number().over(part) > 1)
-    # a store lives ttl seconds from the miss that made it: fold a key's times in order
-    times = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ts).cast("double").alias("t"))))
-    start = F.struct(F.lit(None).cast("double").alias("stored"), F.expr("cast(array() as array<boolean>)").alias("hits"))
-
-    def step(s: Column, e: Column) -> Column:
-        hit = F.coalesce(e["t"] - s["stored"] < ttl_seconds, F.lit(False))
-        return F.struct(F.when(hit, s["stored"]).otherwise(e["t"]).alias("stored"), F.concat(s["hits"], F.array(hit)).alias("hits"))
-
-    folded = events.groupBy(key).agg(times.alias("e")).withColumn("h", F.aggregate("e", start, step, lambda s: s["hits"]))
-    rows = folded.select(key, F.explode(F.arrays_zip("e", "h")).alias("x")).select(key, F.col("x.e.o").alias(order), F.col("x.h").alias("hit"))
-    return events.join(rows, [key, order])
+        return events.withColumn("hit", F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1)
+    rows = events.drop("hit").select("*", F.col(key).alias("_key"), F.col(ts).cast("double").alias("_t"))
+    fields = rows.schema.fields[:-2]
+
+    def run(batches):
+        import pyarrow as pa
+
+        nothing = float("nan")  # no time is within a time to live of it
+        now, stored = object(), nothing
+        for batch in batches:
+            hits = []
+            at = batch.column(len(fields) + 1).cast(pa.float64()).fill_null(nothing).to_pylist()
+            for who, t in zip(batch.column(len(fields)).to_pylist(), at, strict=True):
+                if who != now:
+                    now, stored = who, nothing
+                hit = t - stored < ttl_seconds
+                if not hit:
+                    stored = t
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(hits, pa.bool_())], [*batch.schema.names[: len(fields)], "hit"])
+
+    # a store lives ttl seconds from the miss that made it
+    dealt = rows.repartition("_key").sortWithinPartitions("_key", order, "_t")
+    return dealt.mapInArrow(run, StructType([*fields, StructField("hit", BooleanType())]))
 
 
 def duplicate_flags(rows: DataFrame, key: str, order: str) -> DataFrame:

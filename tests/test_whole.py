@@ -112,3 +112,17 @@ def test_payloads_of_all_turns(spark):
         row[1] += len(r.text)
     assert max(n for n, _ in want.values()) > 2
     assert {r.id: [r.turns, r.n] for r in QUERIES["payload_messages_whole"](spark, SF).collect()} == want
+
+
+def test_cache_hits_walk_a_key_without_gathering_it(spark):
+    """Rows of one key and order stay one row each, a null key is a key, and no row holds a key's history."""
+    rows = [("a", i // 2, float(i)) for i in range(5_000)] + [(None, i, float(7 * i)) for i in range(4)] + [("b", 0, None), ("b", 1, 5.0), ("b", 2, 6.0)]
+    hits = dedupe.cache_hits(spark.createDataFrame(rows, "k string, o long, t double"), "k", "o", ttl_seconds=10, ts="t")
+    want, stored = [], {}
+    for k, o, t in rows:
+        hit = t is not None and stored.get(k) is not None and t - stored[k] < 10
+        if not hit:
+            stored[k] = t
+        want.append((k or "", o, -1.0 if t is None else t, hit))
+    assert sorted((r.k or "", r.o, -1.0 if r.t is None else r.t, r.hit) for r in hits.collect()) == sorted(want)
+    assert "collect_list" not in hits._jdf.queryExecution().toString()
