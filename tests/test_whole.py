@@ -126,3 +126,16 @@ def test_cache_hits_walk_a_key_without_gathering_it(spark):
         want.append((k or "", o, -1.0 if t is None else t, hit))
     assert sorted((r.k or "", r.o, -1.0 if r.t is None else r.t, r.hit) for r in hits.collect()) == sorted(want)
     assert "collect_list" not in hits._jdf.queryExecution().toString()
+
+
+def test_notices_without_their_usual_words(spark):
+    """Whatever the screen keeps from the classifier could not have been confirmed: notices that lack any one or two words."""
+    model, texts = licenses.Model(), []
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        words = sorted(set(licenses.words_of(t)))
+        for i, a in enumerate(words):
+            texts += [" ".join(w for w in licenses.words_of(t) if w not in (a, b)) for b in words[i:]]
+    texts = [*texts[::7], "All rights_reserved", "this is free and software released into the", "Granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"]
+    want = [(sorted({f for f, _ in model.notices(t)}), len(model.notices(t))) for t in texts]
+    assert sum(n for _, n in want[-3:]) == 3
+    assert _licences(spark, texts) == want
