@@ -90,6 +90,28 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Ids alone take a few dozen bytes each in a broadcast; more are not broadcast.
+BROADCAST_IDS = 4_000_000
+
+
+def parted(rows: DataFrame, ids: DataFrame, n: int, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with one of the ``n`` ids, and those without, told apart where they lie: rows that no join needs are not shuffled.
+
+    Ids beyond ``BROADCAST_IDS`` are not broadcast: then the first holds all rows, and there is no second.
+    """
+    if n > BROADCAST_IDS:
+        return rows, None
+    few = F.broadcast(ids.select(id_col).distinct())
+    return rows.join(few, id_col, "left_semi"), rows.join(few, id_col, "left_anti")
+
+
+def join_rows(rows: DataFrame, wanted: DataFrame, n: int, id_col: str) -> DataFrame:
+    """Join wide ``rows`` with ``n`` narrow ones by id: by broadcast where those are few, else only rows that have a partner are shuffled."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), id_col)
+    return parted(rows, wanted, n, id_col)[0].join(wanted, id_col)
+
+
 #: Groups that may hold more than this share of all rows are fewer than this many.
 HOT_GROUPS = 1_000
 

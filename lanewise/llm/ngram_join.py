@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import join_groups, materialise, mix, release, released, row_id, shingle_sets, small_or_shuffled, spans_of, text_buffers
+from lanewise.llm.common import join_groups, join_rows, materialise, mix, parted, release, released, row_id, shingle_sets, spans_of, text_buffers
 from lanewise.llm.graph import ONE_TASK, components
 
 CHUNK = 512 << 10
@@ -464,7 +464,7 @@ class _Join:
 
     def linked(self, dealt: DataFrame, places: int) -> DataFrame:
         """Links found in the pages that ``places`` of (rid, sig, places) rows name."""
-        got = self.docs.join(small_or_shuffled(dealt.select("rid", "sig", "places"), places), "rid")
+        got = join_rows(self.docs, dealt.select("rid", "sig", "places"), places, "rid")
         rows = got.select("text", "sig", "places").mapInArrow(released(_fetch(self.width)), "page long, side int, comp long, sig long, body binary")
         return materialise(rows.repartition("page").sortWithinPartitions("page").mapInArrow(released(_link(self.num, self.den)), "a long, b long"), "links")
 
@@ -486,7 +486,7 @@ class _Join:
                 break
             done.append(member.where("not wide"))
             before = state["c"]
-            texts = self.docs.join(wide.select("rid", "sig", "cluster"), "rid").select("text", "sig", "cluster")
+            texts = join_rows(self.docs, wide.select("rid", "sig", "cluster"), state["c"], "rid").select("text", "sig", "cluster")
             cluster = _clusters(texts, self.width, self.num, self.den, state["n"], self.one_task)
         out = done[0]
         for more in done[1:]:
@@ -631,7 +631,9 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_co
     said = join_groups(measured, names, ["sig"]).select("rid", "th", (F.struct("rid", "th") == F.col("k")).alias("keep"))
     said = materialise(said.groupBy("rid", "th").agg(F.max("keep").alias("keep"), F.count("*").alias("c")), "kept")
     rows = docs.select(F.struct("*").alias("row"), row_id(id_col, text_col).alias("rid"), F.xxhash64(text_col).alias("th"))
+    rows, others = parted(rows, said, said.count(), "rid")
     marked = join_groups(rows, said, ["rid", "th"], "left")
     alone = marked.where("keep is null or (keep and c = 1)")
     again = marked.where("keep and c > 1").groupBy("rid", "th").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return alone.select("row.*").unionByName(again.select("row.*"))
+    out = alone.select("row.*").unionByName(again.select("row.*"))
+    return out if others is None else others.select("row.*").unionByName(out)

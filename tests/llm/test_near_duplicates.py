@@ -99,6 +99,21 @@ def test_keep_one(spark):
     assert set(kept) <= set(rows)
 
 
+@pytest.mark.parametrize("ids", [0, 4_000_000])
+def test_texts_are_shuffled_only_where_a_join_needs_them(spark, ids, monkeypatch):
+    """With more ids than a whole broadcast takes, texts without a partner stay where they lie; past the second bound all travel."""
+    from lanewise.llm import common, ngram_join
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(ngram_join, "AGAIN_ROWS", 1)
+    rows = list(dict((i, t) for i, t in corpus()[::-1] if i is not None and (t or "").strip()).items())
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=8, den=10, page=4)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({component for _, _, component in brute_components(rows, 3, 8, 10)})
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftAnti, (rid" in plan and "LeftSemi, (rid" in plan) == bool(ids)
+
+
 def _by_row(rows):
     """(row, n, component) in the order of the rows."""
     sets = [shingles(t, 5) for _, t in rows]
