@@ -45,6 +45,32 @@ def test_nearest_of_few(spark):
     assert ann.nearest(table.where("vec_id = 0")).count() == 0
 
 
+def test_nearest_sends_no_row_for_each_query_and_list(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, 64)).astype(np.float32)
+    x[100:400] = x[100]  # more copies than a query returns
+    x[500:530] = x[500:501] * np.float32(1e3)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    plans = []
+
+    def written(df, tag, write=ann.materialise):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(ann, "materialise", written)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20, raising=False)
+    monkeypatch.setattr(ann, "TILE", 64, raising=False)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(table, k=10, every=10, recall=1.0).collect())
+    assert plans and not any("CoGroup" in p or "explode(" in p for p in plans)
+    want, y = [], x.astype(float)
+    for q in range(0, 600, 10):
+        score = np.sqrt(((y - y[q]) ** 2).sum(1))
+        score[q] = np.inf
+        want += [(q, k + 1, int(i)) for k, i in enumerate(np.lexsort((np.arange(600), score))[:10])]
+    assert [r[:3] for r in got] == want
+    assert all(r[3] == pytest.approx(np.sqrt(((y[r[0]] - y[r[2]]) ** 2).sum()), rel=1e-12) for r in got)
+
+
 def test_top_products(spark, vectors):
     table, x = vectors
     q = np.floor(x * 256).astype(np.int64)
