@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise import schema
 from lanewise.functions import decision, detectors, text
-from lanewise.operators import analytics, dedupe, distill
+from lanewise.operators import analytics, dedupe, distill, similar
 from lanewise.plans.policy import Policy
 from lanewise.plans.route import decision_records, keyless, resolve, route, spread, trace_oracle
 
@@ -829,8 +829,11 @@ def near_duplicate_pairs(spark, sf_dir):
 
 @query()
 def near_duplicate_pairs_whole(spark, sf_dir):
-    """Near-duplicate requests among all documents, of any length."""
-    return _near_duplicate_pairs(table(spark, sf_dir, "documents"))
+    """Near-duplicate requests among all documents, of any length: pairs of classes of equal token sets, and the members of each class."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    # white space is in no token, so it need not be made one space first
+    pairs = similar.near_duplicate_classes(docs, 0.6, normal=F.lower("text"))
+    return pairs.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"), "same_set")
 
 
 def _near_duplicate_pairs(documents: DataFrame) -> DataFrame:

@@ -22,8 +22,48 @@ def test_near_duplicate_pairs_of_long_texts(spark):
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     long = {r.doc_id for r in docs if len(r.text or "") > 600}
     assert any(a in long for a, _ in want)
-    got = [(r.left_id, r.right_id) for r in QUERIES["near_duplicate_pairs_whole"](spark, SF).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    got = QUERIES["near_duplicate_pairs_whole"](spark, SF).collect()
+    assert {p for p in _expanded(got)} == want and len(got) == len({(r.left_id, r.right_id) for r in got})
+
+
+def _expanded(rows):
+    """All pairs of ids that pairs of classes and their members stand for."""
+    members = {}
+    for r in rows:
+        members.setdefault(r.left_id, {r.left_id})
+        if r.same_set:
+            members[r.left_id].add(r.right_id)
+        else:
+            members.setdefault(r.right_id, {r.right_id})
+    for of in members.values():
+        yield from ((a, b) for a in of for b in of if a < b)
+    for r in rows:
+        if not r.same_set:
+            yield from ((min(a, b), max(a, b)) for a in members[r.left_id] for b in members[r.right_id])
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_near_duplicate_classes_of_sets_of_all_sizes(spark, threshold, monkeypatch):
+    from lanewise.operators import similar
+
+    monkeypatch.setattr(similar, "BLOCK", 1_500)
+    monkeypatch.setattr(similar, "STEP", 3_000)
+    monkeypatch.setattr(similar, "SAMPLE", 60)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[int(k)] for k in rng.zipf(1.2, rng.integers(1, 200)) % 300)) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " " + " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(60)]
+    rows += [(300 + i, rows[i % 3 + 5][1]) for i in range(60)] + [(400, None), (401, ""), (402, " .,"), (None, rows[0][1])]
+    sets = {i: set(t.split()) for i, t in rows if i is not None and i < 400}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = similar.near_duplicate_classes(df, threshold).collect()
+    pairs = list(_expanded(got))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert all(r.similarity == pytest.approx(len(sets[r.left_id] & sets[r.right_id]) / len(sets[r.left_id] | sets[r.right_id])) for r in got)
+    # copies are members, not pairs: links do not grow with the square of a group
+    assert sum(r.same_set for r in got) == len(sets) - len({frozenset(s) for s in sets.values()})
+    assert similar.near_duplicate_classes(df.where("id >= 400"), threshold).count() == 0
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
